@@ -59,15 +59,19 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
+#: ASCII bytes that are neither letters nor digits, for words without punctuation.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
 class Words:
-    """Words (maximal runs without space or 0x09 to 0x0D) of several texts, A-Z lower-cased."""
+    """Words (maximal runs without space or 0x09 to 0x0D) of several texts, A-Z lower-cased unless lower is false."""
 
-    def __init__(self, texts: pa.Array, drop: np.ndarray | None = None):
+    def __init__(self, texts: pa.Array, drop: np.ndarray | None = None, lower: bool = True):
         """drop: a table of 256 booleans, of bytes that separate words as well."""
         body, self.offsets = raw(texts)
         self.n_docs, n = len(self.offsets) - 1, len(body)
         sep = _SEP if drop is None else _SEP | drop
-        self.body = body = _LOWER[body]
+        self.body = body = _LOWER[body] if lower else body
         if not n:
             self.starts = self.ends = self.doc = np.zeros(0, np.int64)
             self.hash = np.zeros(0, U64)
