@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearcurve.llm import classifier, decontaminate, licenses, minhash, packing, quality, secrets, shuffle
+from wearcurve.llm import classifier, decontaminate, html, licenses, minhash, packing, quality, secrets, shuffle, warc
 from wearcurve.llm.common import table
 
 
@@ -48,4 +48,13 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_packing, op4_license_scan, op5_sharding, op6_quality_rules, op7_quality_classifier, op9_minhash_dedup)}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = warc.round_trip(table(spark, sf_dir, "pages"))
+    return d.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_packing, op4_license_scan, op5_sharding, op6_quality_rules, op7_quality_classifier, op8_warc, op9_minhash_dedup, op10_html_extraction)}
