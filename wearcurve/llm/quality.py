@@ -22,12 +22,13 @@ RULES: dict[str, str] = {
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
     "symbol_density": "n_words > 0 AND 10 * n_symbols > n_words",
     "shouting": "n_letters_checked > 0 AND 10 * n_upper > 3 * n_letters_checked",
-    "duplicate_lines": "n_lines > 3 AND 100 * n_dup_lines > 30 * n_lines",
+    "duplicate_lines": "n_lines > 3 AND 100 * n_dup_lines > 50 * n_lines",
     "word_length": "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)",
+    "stuttering": "100 * n_stutters > 30 * n_words",
 }
 #: Version -> names of the rules that reject.
 POLICIES: dict[str, tuple[str, ...]] = {"base": ("few_words", "repeated_windows"), "v1": tuple(RULES)}
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stutters"]
 
 
 def policy_mask(policy: str | tuple[str, ...]) -> int:
@@ -64,6 +65,7 @@ def ledger(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         _repeat_words("_words", WINDOW).alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.length("_text") - F.length(F.regexp_replace("_text", r"\p{Lu}", ""))).cast("long").alias("n_upper"),
+        F.expr("transform(array(_words), w -> cast(size(filter(w, (x, i) -> coalesce(x = get(w, i - 1), false))) AS long))[0]").alias("n_stutters"),
     )
     d = d.withColumn("n_letters_checked", F.col("word_chars") - F.col("n_symbols"))
     bits = F.lit(0).cast("long")
