@@ -1,4 +1,6 @@
 """All queries of the library and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from wearcurve.plans import curves, scores, summaries
+from wearcurve.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "curves", "scores", "summaries"]

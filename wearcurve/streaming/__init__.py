@@ -1 +1 @@
-
+"""Controllers over streams."""
