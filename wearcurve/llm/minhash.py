@@ -5,9 +5,10 @@ candidates; the odd sketch (a parity bitmap of the MinHash samples, compared by
 drops those far from the threshold; the sets of the others are compared in full. Components come from the
 confirmed links.
 
-No bucket is expanded into its pairs. Round 0 compares every member with the bucket's smallest. After that only
+No bucket is expanded into its pairs. First every member is compared with the bucket's smallest. After that only
 a bucket that still holds several components matters: its members outside the first one's component are a
-query set against the whole bucket, in blocks, and each proposes its closest ones. Rounds end when nothing is proposed.
+query set against the whole bucket, in blocks, and every pair of different components that an odd sketch of the whole set (whose error is a
+tenth of the sampled one's) can't rule out is confirmed. Every pair of a bucket is then confirmed, ruled out, or joined by other links, so one such pass is enough.
 
 Defined results: null or empty texts, and texts of separators only, have the empty set and link with nothing; a
 null doc_id links with nothing, has no component and is kept; rows with the same doc_id count as one document;
@@ -31,8 +32,9 @@ ROWS, BANDS, WORDS64 = 4, 24, 8
 SAMPLES, BITS = ROWS * BANDS, WORDS64 * 64
 #: Estimates below this are dropped: 5 standard deviations (0.041) under 0.8.
 LEAST_ESTIMATE = 0.6
+#: Longs of the odd sketch of a whole set, and the standard deviations allowed to it.
+FINE64, SIGMAS = 32, 5
 BLOCK = 32_768
-TOP = 16
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _B = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.int64).astype(U64)
@@ -61,6 +63,23 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.packbits(counts & 1, axis=1, bitorder="little").view(U64)
 
 
+def fine_sketch(shingles: np.ndarray) -> np.ndarray:
+    bits = np.bincount((mix(shingles ^ U64(0xA0761D6478BD642F)) % U64(FINE64 * 64)).astype(np.int64), minlength=FINE64 * 64)
+    return np.packbits((bits & 1).astype(np.uint8), bitorder="little").view(U64)
+
+
+def may_reach(differing: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of `total` members together, whose fine sketches differ in so many bits, may have the similarity.
+
+    At the threshold d = total * (1 - j) / (1 + j) members are in one set only. d members set an odd number of times each bit with
+    probability (1 - (1 - 2/n)^d) / 2; mean and variance of the number of such bits follow. A full sketch rules nothing out.
+    """
+    n, d = FINE64 * 64, total * (100 - percent) / (100 + percent)
+    q = (1 - 2 / n) ** d
+    mean, variance = n * (1 - q) / 2, (n * (1 - q * q) + n * (n - 1) * ((1 - 4 / n) ** d - q * q)) / 4
+    return differing <= mean + SIGMAS * np.sqrt(np.maximum(variance, 0)) + 2
+
+
 def _arrays(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1).view(np.int64)))
 
@@ -87,7 +106,7 @@ def features(df: DataFrame, shingle: int) -> DataFrame:
 
 
 def full_sets(df: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """id, shingles: the sets of the documents named in ids, read anew."""
+    """id, fine, shingles: the sets of the documents named in ids, and their fine sketches, read anew."""
     ids, _ = small(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +114,9 @@ def full_sets(df: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
             for i, j in chunks(batch.column("text")):
                 sets = shingle_sets(Words(batch.column("text").slice(i, j - i)), shingle)
                 values = pa.array(np.concatenate([np.zeros(0, U64), *sets]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), values)], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), _arrays(np.stack([fine_sketch(x) for x in sets])), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), values)], names=["id", "fine", "shingles"])
 
-    return df.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
+    return df.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(run, "id long, fine array<long>, shingles array<long>")
 
 
 def _differing(a: str, b: str):
@@ -113,42 +132,39 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) of every end of an edge, by large and small stars; each round is written to the shared folder."""
-    d = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    told = None
+    d = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     while True:
         # large star: every neighbour above u links to the least of u's neighbours and u
         both = d.union(d.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), "edges")
         # small star: u's lesser neighbours, and u, link to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        d = stored(large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct(), "edges")
-        now = d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == told:
-            return d.select(F.col("a").alias("id"), F.col("b").alias("component")).union(d.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        told = now
+        small_star = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x"))
+        d = stored(small_star.select("x.*").where("a <> b").distinct(), "edges")
+        # done when every node is either the centre of a star or has a single link to one
+        roles = d.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(d.select("b", F.lit(0), F.lit(1)))
+        nodes = roles.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if nodes.where("up > 1 OR (up > 0 AND down > 0)").isEmpty():
+            return d.select(F.col("a").alias("id"), F.col("b").alias("component")).union(d.select(F.col("b"), F.col("b")).distinct())
 
 
-def _proposals(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a < b: of every bucket with several components, pairs of a member outside the first one's component and its closest members of other components."""
+def _proposals(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a < b: of every bucket with several components, pairs of a member outside the first one's component and those members of other components that it may be similar to."""
     buckets = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("id").alias("first"), F.min_by("component", "id").alias("home")).where("m > 2 AND c0 <> c1")
     d = rows.join(buckets.select("key", "m", "first", "home"), "key").where("id <> first")  # the first was compared with all
     d = d.withColumn("asks", F.col("component") != F.col("home")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     d = d.withColumn("block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))))
-    d = d.join(sketches, "id").select("key", "block", "id", "component", "asks", "sketch").repartition("key", "block").sortWithinPartitions("key", "block")
-    most = most_differing(LEAST_ESTIMATE)
+    d = d.join(sets.select("id", "fine", F.size("shingles").cast("long").alias("n")), "id").select("key", "block", "id", "component", "asks", "n", "fine").repartition("key", "block").sortWithinPartitions("key", "block")
 
     def group(t: pa.Table) -> np.ndarray:
-        ids, comp, asks = (t.column(c).to_numpy() for c in ("id", "component", "asks"))
-        sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(U64).reshape(-1, WORDS64)
+        ids, comp, asks, n = (t.column(c).to_numpy() for c in ("id", "component", "asks", "n"))
+        fine = t.column("fine").combine_chunks().flatten().to_numpy().view(U64).reshape(-1, FINE64)
         out = []
         for u in np.flatnonzero(asks.astype(bool)):
-            bits = np.bitwise_count(sketch ^ sketch[u]).sum(axis=1)
-            near = np.flatnonzero((bits <= most) & (comp != comp[u]))
+            bits = np.bitwise_count(fine ^ fine[u]).sum(axis=1)
+            near = np.flatnonzero((comp != comp[u]) & may_reach(bits, n + n[u], percent))
             if len(near):
-                near = near[np.lexsort((bits[near], comp[near]))]
-                _, first, which = np.unique(comp[near], return_index=True, return_inverse=True)
-                near = near[np.arange(len(near)) - first[which] < TOP]
                 out.append(np.stack([np.minimum(ids[near], ids[u]), np.maximum(ids[near], ids[u])], 1))
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
@@ -179,8 +195,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     df = df.select("doc_id", "text")
     seen = stored(features(df, shingle), "features")
     linked = seen.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(linked.groupBy("n_shingles", "lo", "hi").agg(F.min("doc_id").alias("id")), "classes")
-    heads = stored(linked.join(classes.select(F.col("id").alias("doc_id"), "n_shingles", "lo", "hi"), ["doc_id", "n_shingles", "lo", "hi"], "left_semi").select(F.col("doc_id").alias("id"), "keys", "sketch").dropDuplicates(["id"]), "heads")
+    heads = stored(linked.groupBy("n_shingles", "lo", "hi").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "heads")
     rows = heads.select("id", F.explode("keys").alias("key"))
     first = rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("m")).where("m > 1")
     shared = stored(rows.join(first, "key"), "buckets")
@@ -192,16 +207,14 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(wide.select("id")).distinct(), "ids")
     sets = stored(full_sets(df, ids, shingle), "sets")
     edges = stored(confirmed(pairs, sets, percent), "links")
-    tested = pairs
-    while True:
-        labels = stored(components(edges), "labels")
-        at = wide.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        more = stored(_proposals(at, sketches).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        tested = tested.union(more)
-        edges = edges.union(stored(confirmed(more, sets, percent), "links"))
-    named = stored(classes.join(labels, "id", "left").select("n_shingles", "lo", "hi", F.coalesce("component", "id").alias("component")), "named")
+    labels = stored(components(edges), "labels")
+    at = wide.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    more = stored(_proposals(at, sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        links = stored(confirmed(more, sets, percent), "links")
+        if not links.isEmpty():
+            labels = stored(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "labels")
+    named = stored(heads.select("n_shingles", "lo", "hi", "id").join(labels, "id", "left").select("n_shingles", "lo", "hi", F.coalesce("component", "id").alias("component")), "named")
     d = seen.select("doc_id", "n_shingles", "lo", "hi").join(named, ["n_shingles", "lo", "hi"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     return d.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
