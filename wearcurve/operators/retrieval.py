@@ -25,14 +25,14 @@ def unit_vector(v: Column) -> Column:
 def knn(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "query_id", vid: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """qid, vid, score: the k most similar vectors of each query by cosine, exactly; the smaller id of equals.
 
-    The queries are few (a stated set): they are broadcast behind a check by the caller. Each task keeps its own k best of a query before the
-    shuffle, so what is exchanged is k rows a query and task.
+    The queries are few (a stated set): they are broadcast behind a check by the caller. The limit on the row number reaches
+    below the shuffle, so a task sends k rows a query.
     """
     q = queries.select(qid, unit_vector(F.col(vec)).alias("_q"))
     v = vectors.select(vid, unit_vector(F.col(vec)).alias("_v"))
     scored = v.crossJoin(F.broadcast(q)).select(qid, vid, dot(F.col("_q"), F.col("_v")).alias("score"))
-    best = scored.withColumn("score", F.round("score", 9)).groupBy(qid).agg(F.expr(f"max_by(struct({vid}, score), struct(score, -{vid}), {k})").alias("x"))
-    return best.select(qid, F.explode("x").alias("x")).select(qid, f"x.{vid}", "x.score")
+    w = Window.partitionBy(qid).orderBy(F.desc("score"), vid)
+    return scored.withColumn("score", F.round("score", 9)).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
 
 
 def search_terms(d: Column) -> Column:
