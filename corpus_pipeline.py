@@ -26,7 +26,8 @@ def _without(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of policy v1 rejects."""
-    return quality.apply_policy(quality.ledger(docs, keep=tuple(docs.columns)), "v1", "_kept").where("_kept").select(docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")  # as one column, so that no name clashes with a measurement
+    return quality.apply_policy(quality.ledger(rows, keep=("row",)), "v1").where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

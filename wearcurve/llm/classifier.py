@@ -131,4 +131,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             for i, j in chunks(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(held.value.score(batch.column("text").slice(i, j - i)))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")

@@ -110,7 +110,7 @@ def _block(docs: DataFrame, rows: list, similarity: float) -> DataFrame:
                     longs = lambda xs: pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).take(pa.array(doc)), pa.array(item, pa.int32()), pa.array(first, pa.int64()), longs(words), longs(seeds)], names=["doc_id", "item", "first", "words", "seeds"])
 
-    found = stored(docs.select("doc_id", "text").mapInArrow(seek, "doc_id long, item int, first long, words array<long>, seeds array<long>"), "passages")
+    found = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(seek, "doc_id long, item int, first long, words array<long>, seeds array<long>"), "passages")
     times = found.select("item", F.explode("seeds").alias("seed")).groupBy("item", "seed").agg(F.count("*").alias("n"))
     least = times.groupBy("item").agg(F.min("n").alias("least"))
     rare, _ = small(stored(times.join(least, "item").where(f"n <= greatest({RARE_LEAST}, {RARE_TIMES} * least)").groupBy("item").agg(F.collect_list("seed").alias("rare")), "seeds"))

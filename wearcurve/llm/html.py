@@ -106,19 +106,20 @@ def tree(html: str) -> tuple[Node, bool]:
     return root, marked
 
 
-def subtree(node: Node, out: dict[int, int] | None, text: list[str] | None = None) -> int:
-    """The 64-bit hash of names and texts below a node; out gets those of containers, by id(node)."""
-    parts = [node.name]
-    for c in node.children:
-        if isinstance(c, str):
-            parts.append(" ".join(c.split()))
-        else:
-            parts.append(str(subtree(c, out)))
-    value = xxhash.xxh64_intdigest("\x01".join(parts))
-    value -= (value >> 63) << 64
-    if out is not None and node.name in CONTAINER:
-        out[id(node)] = value
-    return value
+def subtrees(root: Node) -> dict[int, int]:
+    """The 64-bit hashes (of names and texts) of all containers below the root, by id(node)."""
+    hashes: dict[int, int] = {}
+    todo = [root]
+    order = []
+    while todo:  # parents before children
+        node = todo.pop()
+        order.append(node)
+        todo.extend(c for c in node.children if not isinstance(c, str))
+    for node in reversed(order):
+        parts = [node.name, *(" ".join(c.split()) if isinstance(c, str) else str(hashes[id(c)]) for c in node.children)]
+        value = xxhash.xxh64_intdigest("\x01".join(parts))
+        hashes[id(node)] = value - (value >> 63 << 64)
+    return {id(n): hashes[id(n)] for n in order if n.name in CONTAINER}
 
 
 def dropped(node: Node) -> bool:
@@ -135,9 +136,7 @@ def dropped(node: Node) -> bool:
 
 def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> str:
     root, marked = tree(html)
-    hashes: dict[int, int] = {}
-    if template:
-        subtree(root, hashes)
+    hashes = subtrees(root) if template else {}
     blocks: list[str] = []
     line: list[str] = []
 
@@ -183,10 +182,8 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: floa
             hosts, values = [], []
             for h, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 if html:
-                    out: dict[int, int] = {}
                     root, _ = tree(html)
-                    subtree(root, out)
-                    own = set(out.values())
+                    own = set(subtrees(root).values())
                     hosts += [h] * len(own)
                     values += own
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(values, pa.int64())], names=["host", "hash"])
@@ -206,5 +203,5 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
             texts = [main_text(h or "", frozenset(t or ())) for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    d = pages.select("page_id", "url", "html", host().alias("host")).join(templates, "host", "left")
+    d = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host().alias("host")).join(templates, "host", "left")
     return d.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string")

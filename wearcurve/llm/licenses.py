@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wearcurve.llm.kernels import PUNCTUATION, Words, chunks
 
@@ -188,4 +189,4 @@ def scan(df: DataFrame, coverage: float = COVERAGE, templates: list[tuple[str, s
                     kinds = [pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).take(pa.array(cols[0])), *[pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True)]], names=["doc_id", "license", "template", "coverage", "start_word", "end_word", "start_byte", "end_byte"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, license string, template string, coverage double, start_word long, end_word long, start_byte long, end_byte long")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, license string, template string, coverage double, start_word long, end_word long, start_byte long, end_byte long")

@@ -192,7 +192,7 @@ def _proposals(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of df (doc_id, text)."""
-    df = df.select("doc_id", "text")
+    df = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = stored(features(df, shingle), "features")
     linked = seen.where("n_shingles > 0 AND doc_id IS NOT NULL")
     heads = stored(linked.groupBy("n_shingles", "lo", "hi").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "heads")

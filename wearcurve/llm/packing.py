@@ -63,7 +63,7 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
 def packed(df: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, size: str | None = None, cluster: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """doc_id, piece, n_tokens, first_token (of the piece in its document), bin_id, offset (of the piece in its bin)."""
     d = df.select(
-        "doc_id",
+        F.col("doc_id").cast("long").alias("doc_id"),
         "source",
         (F.col(size) if size else F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))).cast("long").alias("_n"),
         (F.xxhash64(cluster) if cluster else F.xxhash64("text")).alias("_c"),

@@ -74,8 +74,7 @@ def find_parts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """df with every reported span of its text replaced by <kind>; overlapping spans become one, named by the first. Null texts stay null."""
-    others = [c for c in df.columns if c != text]
-    found = find_parts(df.withColumn("_null", F.col(text).isNull()), text, (*others, "_null"))
+    found = find_parts(df.select(F.struct("*").alias("_row"), F.col(text).alias("text")), "text", ("_row",))
     cut = F.aggregate(
         "parts",
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
@@ -85,8 +84,8 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         ).otherwise(F.struct(F.greatest(a["at"], p["e"]).alias("at"), a["out"].alias("out"))),
         lambda a: F.concat(F.array_join(a["out"], ""), F.col("_text").substr((a["at"] + 1).cast("int"), F.length("_text"))),
     )
-    new = F.when(F.col("_null"), F.lit(None)).when(F.size("parts") == 0, F.col("_text")).otherwise(cut)
-    return found.withColumn(text, new).select(*df.columns)
+    new = F.when(F.col(f"_row.{text}").isNull(), F.lit(None)).when(F.size("parts") == 0, F.col("_text")).otherwise(cut)
+    return found.select(*[new.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
 
 
 def digest(found: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

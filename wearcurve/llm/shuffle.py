@@ -45,10 +45,10 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def shuffled(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int = 8, carry: tuple[str, ...] = (), rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = SEED) -> DataFrame:
-    """key, carry, size, text_crc32, shard, slot, grown_shard: one row per row of df. The memory of a task is that of rows_per_bucket records."""
+    """key, size, text_crc32, shard, grown_shard, slot, and carried (a struct of the columns named in carry): one row per row of df. The memory of a task is that of rows_per_bucket records."""
     body = F.coalesce(F.col(text), F.lit(""))
     buckets = max(1, math.ceil(df.count() / n_shards / rows_per_bucket))
-    d = df.select(F.col(key), *carry, (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
+    d = df.select(F.col(key), *([F.struct(*carry).alias("carried")] if carry else []), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     d = d.select(
         "*",
         shard_of(key, n_shards, seed).alias("shard"),
@@ -73,6 +73,6 @@ def shuffled(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: i
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", n_shards: int = 8, **more) -> None:
-    """All columns of df, as shard=N folders of Parquet in slot order."""
-    others = tuple(c for c in df.columns if c != key)
-    shuffled(df, key, text, n_shards, others, **more).drop("size", "text_crc32", "grown_shard").repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """All columns of df, as shard_no=N folders of Parquet in slot order (df must not have that column)."""
+    d = shuffled(df, key, text, n_shards, tuple(df.columns), **more).select(F.col("shard").alias("shard_no"), "slot", "carried")
+    d.repartition(n_shards, "shard_no").sortWithinPartitions("shard_no", "slot").select("carried.*", "shard_no").write.partitionBy("shard_no").parquet(path)

@@ -82,7 +82,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Writes archives and index for page_id, url, html; returns the index, read back from the folder."""
     shared, _ = small(stored(originals(pages, least_bytes), "originals"))
     body = F.coalesce("html", F.lit(""))
-    d = pages.select("page_id", "url", body.alias("html"), F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).cast("long").alias("n_bytes"))
+    d = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html"), F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).cast("long").alias("n_bytes"))
     d = d.join(shared.withColumn("shared", F.lit(True)), ["sha", "n_bytes"], "left")
     d = d.select("page_id", "url", "html", F.coalesce(F.col("shared") & ~F.col("page_id").eqNullSafe(F.col("original")), F.lit(False)).alias("revisit"), "original")
 
