@@ -34,7 +34,7 @@ SAMPLES, BITS = ROWS * BANDS, WORDS64 * 64
 LEAST_ESTIMATE = 0.6
 #: Longs of the odd sketch of a whole set, and the standard deviations allowed to it.
 FINE64, SIGMAS = 32, 5
-BLOCK = 32_768
+BLOCK = 4096
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _B = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.int64).astype(U64)
@@ -152,7 +152,8 @@ def components(edges: DataFrame) -> DataFrame:
 def _proposals(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a < b: of every bucket with several components, pairs of a member outside the first one's component and those members of other components that it may be similar to."""
     buckets = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("id").alias("first"), F.min_by("component", "id").alias("home")).where("m > 2 AND c0 <> c1")
-    d = rows.join(buckets.select("key", "m", "first", "home"), "key").where("id <> first")  # the first was compared with all
+    buckets, _ = small(stored(buckets.select("key", "m", "first", "home"), "mixed"))
+    d = rows.join(buckets, "key").where("id <> first")  # the first was compared with all
     d = d.withColumn("asks", F.col("component") != F.col("home")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     d = d.withColumn("block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))))
     d = d.join(sets.select("id", "fine", F.size("shingles").cast("long").alias("n")), "id").select("key", "block", "id", "component", "asks", "n", "fine").repartition("key", "block").sortWithinPartitions("key", "block")
