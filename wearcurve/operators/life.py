@@ -9,8 +9,8 @@ from wearcurve.operators.units import by_unit
 
 
 def ramp(failure: Column, t: str = "t") -> Column:
-    """Steps to failure, not below 0."""
-    return F.greatest(F.lit(0.0), (failure - F.col(t)).cast("double"))
+    """Steps to failure, not below 0; null without one."""
+    return F.when(failure.isNotNull(), F.greatest(F.lit(0.0), (failure - F.col(t)).cast("double")))
 
 
 def hours_left(time: str = "hours") -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearcurve.operators import evaluation, models, trackers
+from wearcurve.operators import evaluation, life, models, trackers
 
 MODELS = ["threshold_alarm", "static_curve", "rolling_refit", "pid_adaptive", "pid_regime"]
 ALARM_BELOW = 50.0
@@ -49,7 +49,7 @@ def benchmark_rows(df: DataFrame, dataset: str, wanted: list[str] | None = None,
 
     n_valid is the unit's number of rows.
     """
-    actual = F.coalesce(F.col("true_rul"), F.greatest(F.lit(0.0), (F.col("failure_index") - F.col("t")).cast("double")))
+    actual = F.coalesce(F.col("true_rul"), life.ramp(F.col("failure_index")))
     facts = df.select("unit_id", "t", "n", "failure_index", actual.alias("actual_rul"), "prior_quality", "equipment_type", "is_run_to_failure")
     d = model_tracks(df, wanted, grid).join(facts, ["unit_id", "t"])
     keys = ["unit_id", "model", "n", "prior_quality", "equipment_type", "is_run_to_failure"]

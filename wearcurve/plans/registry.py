@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wearcurve.plans.views import rounded
+from wearcurve.plans.views import NUDGE, rounded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
         run.__name__, run.__doc__ = name, f.__doc__
         QUERIES[name] = run
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = sql.replace(", 6)", f" + {NUDGE}, 6) + 0e0")
         return f
 
     return add

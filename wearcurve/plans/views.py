@@ -16,13 +16,17 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Added before rounding: means of few-digit numbers lie exactly between two results, where the last bit would decide.
+NUDGE = 1e-9
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to 6 decimals (no negative zero), integers as long."""
     cols = []
     for f in df.schema:
         kind = f.dataType.simpleString()
         c = F.col(f"`{f.name}`")
-        cols.append((F.round(c, digits) + F.lit(0.0) if kind == "double" else c.cast("long") if kind in ("int", "smallint", "tinyint") else c).alias(f.name))
+        cols.append((F.round(c + F.lit(NUDGE), digits) + F.lit(0.0) if kind == "double" else c.cast("long") if kind in ("int", "smallint", "tinyint") else c).alias(f.name))
     return df.select(cols)
 
 
