@@ -2,8 +2,8 @@
 
 Strong parts are reported as they are. Weak parts (names of accounts, short assignments, opaque
 strings, endpoints) are reported only where complementary parts lie in the same scope: an
-interval join of the parts of one text, |start - start| <= SCOPE code points. Each part is compared with a
-slice of the start-ordered parts that is long enough to hold all parts of its scope (parts of one kind
+interval join of the parts of one text, |start - start| <= SCOPE code points. Each part is compared with those
+beside it in the order of starts, as many as its scope can hold (parts of one kind
 don't overlap and have MIN_PART characters at least), so the join is exact and linear in the number of parts.
 
 Defined results: a null text counts as empty and has no spans; null doc_ids and repeated rows are
@@ -62,8 +62,8 @@ def find_parts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     d = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     d = d.select("*", *[_parts("_text", k).alias(f"_p{k}") for k in range(len(KINDS))])
     d = d.withColumn("_all", F.array_sort(F.concat(*[F.col(f"_p{k}") for k in range(len(KINDS))])))
-    near = f"slice(_all, greatest(i + 1 - {NEAR}, 1), {2 * NEAR + 1})"
-    other = lambda roles: f"exists({near}, q -> q.role IN ({roles}) AND abs(q.s - p.s) <= {SCOPE} AND (q.e <= p.s OR p.e <= q.s))"
+    near = f"sequence(greatest(i - {NEAR}, 0), least(i + {NEAR}, size(_all) - 1))"  # places in the order of starts
+    other = lambda roles: f"exists({near}, j -> get(_all, j).role IN ({roles}) AND abs(get(_all, j).s - p.s) <= {SCOPE} AND (get(_all, j).e <= p.s OR p.e <= get(_all, j).s))"
     linked = f"""filter(_all, (p, i) -> p.strong
         OR (p.role = 'identifier' AND {other("'secret'")})
         OR (p.role = 'secret' AND {other("'identifier', 'endpoint'")})
