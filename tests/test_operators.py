@@ -79,6 +79,15 @@ def test_frames_and_moments(spark):
     assert noise.kurtosis == pytest.approx(3, abs=0.3) and noise.rms > 0
 
 
+def test_severity_slices(spark, monkeypatch):
+    rows = [(k, "ab"[k % 2] if k % 5 else "zz", 1.0) for k in range(100)]
+    d = spark.createDataFrame(rows, "k long, phase string, s double")
+    whole = sorted(map(tuple, features.severity_concat(d, "phase", ["k"], ["b", "none", "a"], "s").collect()))
+    monkeypatch.setattr(features, "SLICE_ROWS", 7)
+    assert whole == sorted(map(tuple, features.severity_concat(d, "phase", ["k"], ["b", "none", "a"], "s").collect()))
+    assert sorted(x[-1] for x in whole) == list(range(80)) and {x[3] for x in whole} == {0.0, 40.0}
+
+
 def test_units_of_very_different_lengths(spark):
     d = steps(spark, [0.1 * k for k in range(300)]).union(steps(spark, [1.0], 2)).union(steps(spark, [1.0, 2.0], 3))
     d = d.select("unit_id", "t", "n", F.col("value").alias("observed"), F.lit(0.0).alias("baseline"), F.lit(1.0).alias("threshold"))

@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearcurve.kernels import spectra
 from wearcurve.operators.units import in_order
 
+SLICE_ROWS = 100_000
+
 
 def moments(x: str) -> dict[str, Column]:
     """Aggregates: rms, peak, crest factor, peak to peak, kurtosis (Pearson) and skewness; the last two are null for constant values."""
@@ -90,17 +92,21 @@ def band_energies(framed: DataFrame, sr: float, bands: dict[str, float], half_wi
 def severity_concat(df: DataFrame, phase: str, order: list[str], ranks: list[str], duration: str) -> DataFrame:
     """Phases one behind another, in the order of ranks: df + time_offset (durations of all earlier phases) + time_index. Phases that aren't there add nothing.
 
-    The running number is the row's number in its phase plus the sizes of earlier phases, so no window spans all rows.
+    order begins with a number. A phase is cut into slices of it of about SLICE_ROWS rows; the running number is the row's number in its slice plus the
+    sizes of all earlier slices, so no window spans a phase.
     """
-    from pyspark.sql import Window
-
     rank = F.array_position(F.array(*[F.lit(r) for r in ranks]), F.col(phase)).cast("int")
     d = df.withColumn("_rank", rank).where("_rank > 0")
-    sizes = d.groupBy("_rank").agg(F.count("*").alias("_n"), F.sum(duration).alias("_d"))
-    w = Window.orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as phases
-    before = sizes.select("_rank", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"), F.coalesce(F.sum("_d").over(w), F.lit(0.0)).alias("time_offset"))
-    own = F.row_number().over(Window.partitionBy("_rank").orderBy(*order)) - 1
-    return d.join(F.broadcast(before), "_rank").withColumn("time_index", (own + F.col("_before")).cast("long")).drop("_rank", "_before")
+    span = d.agg(F.min(order[0]).alias("lo"), F.max(order[0]).alias("hi"), F.count("*").alias("n")).first()
+    slices = max(1, span.n // SLICE_ROWS)
+    width = max(((span.hi or 0) - (span.lo or 0)) / slices, 1e-300)
+    d = d.withColumn("_slice", F.least(F.floor((F.col(order[0]) - F.lit(span.lo)) / F.lit(width)), F.lit(slices - 1)))
+    sizes = d.groupBy("_rank", "_slice").agg(F.count("*").alias("_n"), F.sum(duration).alias("_d"))
+    w = Window.orderBy("_rank", "_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
+    phases = Window.orderBy("_rank").rangeBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_rank", "_slice", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"), F.coalesce(F.sum("_d").over(phases), F.lit(0.0)).alias("time_offset"))
+    own = F.row_number().over(Window.partitionBy("_rank", "_slice").orderBy(*order)) - 1
+    return d.join(before, ["_rank", "_slice"]).withColumn("time_index", (own + F.col("_before")).cast("long")).drop("_rank", "_slice", "_before")
 
 
 def trailing_volatility(value: str, rows: int = 15) -> Column:

@@ -9,6 +9,7 @@ from wearcurve import functions as fn
 
 #: Makers of known designations, and prefixes that scans confuse.
 KNOWN = {"6205": "SKF", "6205-2RS": "SKF", "6204": "SKF", "6204-2RS": "SKF", "ZA-2115": "Rexnord", "ZA2115": "Rexnord", "UER204": "LDK"}
+QUERY_BLOCK = 4096
 CONFUSED = {"UER": ["VER", "UFR", "UBR"]}
 
 
@@ -25,14 +26,19 @@ def unit_vector(v: Column) -> Column:
 def knn(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "query_id", vid: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """qid, vid, score: the k most similar vectors of each query by cosine, exactly; the smaller id of equals.
 
-    The queries are few (a stated set): they are broadcast behind a check by the caller. The limit on the row number reaches
+    Queries are broadcast in blocks of at most QUERY_BLOCK, whatever their number; each block is held against all vectors. The limit on the row number reaches
     below the shuffle, so a task sends k rows a query.
     """
-    q = queries.select(qid, unit_vector(F.col(vec)).alias("_q"))
+    blocks = -(-max(queries.count(), 1) // QUERY_BLOCK)
+    q = queries.select(qid, unit_vector(F.col(vec)).alias("_q"), F.pmod(F.xxhash64(qid), F.lit(blocks)).alias("_block"))
     v = vectors.select(vid, unit_vector(F.col(vec)).alias("_v"))
-    scored = v.crossJoin(F.broadcast(q)).select(qid, vid, dot(F.col("_q"), F.col("_v")).alias("score"))
     w = Window.partitionBy(qid).orderBy(F.desc("score"), vid)
-    return scored.withColumn("score", F.round("score", 9)).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
+    out = None
+    for b in range(blocks):
+        scored = v.crossJoin(F.broadcast(q.where(F.col("_block") == b).drop("_block"))).select(qid, vid, F.round(dot(F.col("_q"), F.col("_v")), 9).alias("score"))
+        part = scored.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def search_terms(d: Column) -> Column:
@@ -60,9 +66,9 @@ def hybrid(queries: DataFrame, candidates: DataFrame, chunks: DataFrame, k: int
     q = queries.select("query_id", fn.designation(F.col("query")).alias("_d")).withColumn("_terms", search_terms(F.col("_d")))
     named = q.where(F.col("_d").isNotNull())
     up = F.upper("text")
-    scan = chunks.join(F.broadcast(named), F.exists("_terms", lambda x: F.contains(up, x))).select("query_id", "chunk_id", F.lit(0.85).alias("score"))
+    scan = chunks.join(named, F.exists("_terms", lambda x: F.contains(up, x))).select("query_id", "chunk_id", F.lit(0.85).alias("score"))
     best = candidates.select("query_id", "chunk_id", "score").unionByName(scan).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    d = best.join(chunks.select("chunk_id", "text"), "chunk_id").join(F.broadcast(q), "query_id")
+    d = best.join(chunks.select("chunk_id", "text"), "chunk_id").join(q, "query_id")
     du = F.upper("_d")
     holds = F.contains(up, du) | F.contains(up, F.regexp_replace(du, "-2RS$", ""))
     score = F.when(holds, F.least(F.col("score") * 1.3, F.lit(1.0))).otherwise(F.col("score"))
