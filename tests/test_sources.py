@@ -105,3 +105,67 @@ def test_cache_and_sinks(spark, tmp_path):
     writers.fleet_prior(spark.createDataFrame([(0, 2.0)], "t long, prior double"), str(tmp_path / "fp"))
     assert spark.read.parquet(str(tmp_path / "fp")).columns == ["t", "prior"]
     assert writers.append_observation(spark.range(1).withColumn("a", F.lit(1)), spark.range(1)).where("a IS NULL").count() == 1
+
+
+def noise(rng, n, spike=0.0):
+    x = rng.normal(size=n)
+    x[:: max(1, n // 8)] += spike
+    return x
+
+
+def test_bearing_loaders(spark, tmp_path):
+    import numpy as np
+
+    from wearcurve.sources import loaders
+
+    rng = np.random.default_rng(1)
+    for k in range(12):
+        np.savetxt(tmp_path / f"2004.02.{k:02d}", np.stack([noise(rng, 200, k) for _ in range(4)], 1), delimiter="\t")
+    d = loaders.ims(spark, str(tmp_path), False, ["bearing_1"])
+    got = {(r.unit_id, r.t): r for r in d.collect()}
+    assert len(got) == 48 and got["bearing_1", 3].failure_index == 11 and got["bearing_2", 3].failure_index is None and got["bearing_1", 11].true_rul == 0 and got["bearing_1", 0].true_rul == pytest.approx(11 / 6)
+    assert got["bearing_1", 11].baseline == pytest.approx(got["bearing_1", 11].threshold) and {"bpfo_energy", "ftf_energy", "kurtosis"} <= set(d.columns)
+    x = tmp_path / "x"
+    x.mkdir()
+    for k in range(3):
+        np.savetxt(x / f"{k + 1}.csv", np.stack([noise(rng, 64)] * 2, 1), delimiter=",")
+        np.savetxt(x / f"acc_{k:05d}.csv", np.stack([noise(rng, 64)] * 2, 1), delimiter=",")
+    one = x / "one"
+    one.mkdir()
+    for f in list(x.glob("acc_*.csv")):
+        f.rename(one / f.name)
+    assert loaders.xjtu(spark, str(x), "Bearing1_1", 1).count() == 3
+    f = loaders.femto(spark, str(one), "Bearing1_1", 1).collect()
+    assert len(f) == 3 and f[0].rms_combined > f[0].rms and loaders.femto(spark, str(one), "b", 1, train=False).where("true_rul IS NOT NULL").count() == 0
+    assert loaders.dataset_info(spark, "ims").count() == 1 and loaders.mat_key(97) == "X097_DE_time"
+
+
+def test_severity_loader(spark, tmp_path):
+    import numpy as np
+
+    from wearcurve.sources import loaders
+
+    rng = np.random.default_rng(2)
+    for k, name in enumerate(("n", "a")):
+        (tmp_path / f"{name}.mat").write_bytes(mat_file(numeric(loaders.mat_key(97 + k), noise(rng, 6000, 3 * k))))
+    d = loaders.cwru(spark, {"normal": str(tmp_path / "n.mat"), "0.014": str(tmp_path / "a.mat"), "0.021": str(tmp_path / "gone.mat")})
+    rows = d.orderBy("t").collect()
+    assert [r.phase for r in rows] == ["healthy"] * 4 + ["moderate"] * 4 and [r.t for r in rows] == list(range(8))
+    assert rows[4].seconds == pytest.approx(0.5 + 0.1) and rows[0].true_rul == 8 and rows[7].true_rul == 0
+
+
+def test_engine_and_battery_loaders(spark, tmp_path):
+    from wearcurve.operators import runner
+    from wearcurve.sources import loaders
+
+    line = lambda u, c, n: " ".join([str(u), str(c), "0", "0", "0", *[str(k + c / n) for k in range(21)]])
+    (tmp_path / "train.txt").write_text("\n".join(line(u, c, n) for u, n in ((1, 5), (2, 3)) for c in range(1, n + 1)))
+    (tmp_path / "test.txt").write_text("\n".join(line(7, c, 5) for c in range(1, 4)))
+    (tmp_path / "rul.txt").write_text("20\n")
+    got = {(r.unit_id, r.t): r for r in loaders.engines(spark, *[str(tmp_path / f"{x}.txt") for x in ("train", "test", "rul")]).collect()}
+    assert len(got) == 11 and got["train_1", 0].true_rul == 4 and got["test_7", 0].true_rul == 22 and got["test_7", 2].true_rul == 20 and got["test_7", 0].failure_index is None
+    assert got["train_1", 4].value > got["train_1", 0].value and got["train_1", 0].expected_life == 5
+    assert runner.level_or_one() is not None
+    (tmp_path / "b.mat").write_bytes(mat_file(structure("Cell1", {"capacity": [740.0 * (1 - 0.03 * k) for k in range(12)]})))
+    b = loaders.batteries(spark, str(tmp_path / "b.mat")).orderBy("t").collect()
+    assert b[0].failure_index == 7 and b[7].true_rul == 0 and b[0].phase == "linear" and b[11].phase == "rapid"

@@ -19,3 +19,12 @@ def band_energies(frames: np.ndarray, sr: float, centres: np.ndarray, half_width
 def total_energy(frames: np.ndarray, scaled: bool = True) -> np.ndarray:
     n = frames.shape[1]
     return (np.abs(np.fft.rfft(frames, axis=1) / (n if scaled else 1)) ** 2).sum(axis=1)
+
+
+def time_features(x: np.ndarray) -> dict[str, float]:
+    """rms, peak, crest factor, peak to peak, kurtosis (Pearson) and skewness of one recording; the last two are NaN for a constant one."""
+    x = np.asarray(x, float)
+    rms, peak = float(np.sqrt(np.mean(x * x))), float(np.abs(x).max())
+    d = x - x.mean()
+    m2 = float(np.mean(d * d)) if x.max() > x.min() else np.nan
+    return {"rms": rms, "peak": peak, "crest_factor": peak / rms if rms > 0 else 0.0, "peak_to_peak": float(x.max() - x.min()), "kurtosis": float(np.mean(d**4)) / m2**2, "skewness": float(np.mean(d**3)) / m2**1.5}

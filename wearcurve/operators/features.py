@@ -89,6 +89,28 @@ def band_energies(framed: DataFrame, sr: float, bands: dict[str, float], half_wi
     return framed.select("unit_id", "frame", "samples").mapInPandas(run, "unit_id long, frame long, " + ", ".join(f"{c} double" for c in more))
 
 
+TIME_FEATURES = ["rms", "peak", "crest_factor", "peak_to_peak", "kurtosis", "skewness"]
+
+
+def snapshot_features(recordings: DataFrame, keys: list[str], sr: float = 1.0, bands: dict[str, float] | None = None, half_width: float = 5.0, harmonics: int = 3) -> DataFrame:
+    """keys, time features, and <band>_energy over harmonics (unscaled), of every recording (samples). One pass over the arrays."""
+    names, centres = list(bands or {}), np.array(list((bands or {}).values()), float)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for x in pdf["samples"]:
+                f = spectra.time_features(x)
+                e = spectra.band_energies(np.asarray(x, float)[None, :], sr, centres, half_width, harmonics, False)[0] if names else []
+                rows.append([*[f[k] for k in TIME_FEATURES], *e])
+            yield pd.concat([pdf[keys], pd.DataFrame(rows, columns=[*TIME_FEATURES, *[f"{n}_energy" for n in names]], index=pdf.index, dtype=float)], axis=1)
+
+    d = recordings.where(F.size("samples") > 0).select(*keys, "samples")
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in d.schema if f.name in keys], *[f"{c} double" for c in [*TIME_FEATURES, *[f"{n}_energy" for n in names]]]])
+    made = d.mapInPandas(run, schema)
+    return made.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("kurtosis", "skewness")})
+
+
 def severity_concat(df: DataFrame, phase: str, order: list[str], ranks: list[str], duration: str) -> DataFrame:
     """Phases one behind another, in the order of ranks: df + time_offset (durations of all earlier phases) + time_index. Phases that aren't there add nothing.
 
