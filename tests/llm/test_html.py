@@ -68,6 +68,14 @@ def test_pages_without_an_article():
     assert html.main_text("") == "" and html.main_text("<p>open <b>never") == "open never" and html.main_text("</p></div>x<!-- open") == "x"
 
 
+def test_marks_and_attributes():
+    assert html.main_text("<main><p>intro</p><article><p>story</p></article></main>") == "story"
+    assert html.main_text("<div role=\"main\"><p>story</p></div><p>out</p>") == "story"
+    assert html.main_text("<article><div data-id='ad' title='a notice'><a href='/x?id=ad&class=ads'>kept</a></div><div id=ad-1>x</div><p hidden>y</p></article>") == "kept"
+    assert html.main_text("<div id=header>h</div><div class=content><div class='card header'>x</div>one</div>") == "one"
+    assert html.main_text("<article><div class='story-header'>title</div><article class='comment'>c</article></article>") == "title"
+
+
 def test_site_templates(spark):
     bar = "<div><p>Welcome to our site</p><ul><li>login</li></ul></div>"
     rows = [(i, f"http://Site.example:80/{i}", f"<body>{bar}<div><p>story {i}</p><p>Daily line</p></div></body>", None, None) for i in range(20)]

@@ -49,7 +49,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame) -> tuple[DataFrame, int]:
-    """df, marked for broadcast if it has at most BROADCAST_ROWS rows, and its number of rows. df should be stored()."""
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
+    """df, marked for broadcast if it has at most so many rows, and its number of rows. df should be stored(); wide rows need a lower limit."""
     n = df.count()
-    return (F.broadcast(df) if n <= BROADCAST_ROWS else df), n
+    return (F.broadcast(df) if n <= rows else df), n

@@ -2,8 +2,8 @@
 
 Pass one hashes the subtrees of container elements (tags and text, without attributes) and counts, per host, on how many pages each
 occurs. A subtree on many pages of its host (at least LEAST_PAGES, and SHARE of them) is part of the site's template. Pass two deletes those
-subtrees, and elements that never hold main text (by name, role or class), and gives the text of the article (of the body, where no article is
-marked) as blocks. Within an article only containers can be template parts; paragraphs, headings and list items stay, however often they recur.
+subtrees, and elements that never hold main text (by name, role or class), and gives the text of the article (else of what is marked as
+main, else of the body) as blocks. Within an article only containers can be template parts; paragraphs, headings and list items stay, however often they recur.
 
 Defined results: a null or empty html gives an empty text; a null url, or one without a host, belongs to the host ''; null page_ids
 and repeated rows are kept; malformed markup is read as far as it goes; other columns are not read.
@@ -36,7 +36,11 @@ DROPPED_WORDS = frozenset(
 )
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Classes that mark a page's head, outside of an article.
+HEAD_WORDS = frozenset("header topbar".split())
+#: Classes of articles that are readers' comments.
+COMMENT_WORDS = frozenset("comment comments reply replies".split())
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -71,14 +75,14 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
 class Node:
     __slots__ = ("name", "attributes", "children", "inside")
 
-    def __init__(self, name: str, attributes: str, inside: bool):
+    def __init__(self, name: str, attributes: str, inside: int):
         self.name, self.attributes, self.children, self.inside = name, attributes, [], inside
 
 
-def tree(html: str) -> tuple[Node, bool]:
-    """The root, and whether an article is marked. inside: the node is an article or in one."""
-    root = Node("", "", False)
-    stack, marked = [root], False
+def tree(html: str) -> tuple[Node, int]:
+    """The root, and which marks there are: 1 for main, 2 for article. inside: the marks that the node has or is in."""
+    root = Node("", "", 0)
+    stack, marks = [root], 0
     for kind, name, value in tokens(html):
         if kind == "text":
             stack[-1].children.append(value)
@@ -93,9 +97,9 @@ def tree(html: str) -> tuple[Node, bool]:
                         break
                     if stack[k].name == "table":
                         break
-            article = name == "article" or name == "main" or 'role="main"' in value
-            marked |= article
-            node = Node(name, value, stack[-1].inside or article)
+            mark = 2 if name == "article" else 1 if name == "main" or 'role="main"' in value else 0
+            marks |= mark
+            node = Node(name, value, stack[-1].inside | mark)
             stack[-1].children.append(node)
             stack.append(node)
         else:
@@ -103,7 +107,7 @@ def tree(html: str) -> tuple[Node, bool]:
                 if stack[k].name == name:
                     del stack[k:]
                     break
-    return root, marked
+    return root, marks
 
 
 def subtrees(root: Node) -> dict[int, int]:
@@ -126,16 +130,24 @@ def dropped(node: Node) -> bool:
     """Never main text: by name, role or class."""
     if node.name in DROPPED or (node.name == "header" and not node.inside):
         return True
-    if node.attributes and node.name not in ("article", "main", "body", "html"):
+    if node.attributes and node.name not in ("main", "body", "html"):
         for name, value in _ATTRIBUTE.findall(node.attributes):
-            name, words = name.lower(), _WORD.findall(value.lower())
-            if name == "role" and DROPPED_ROLES.intersection(words) or name in ("class", "id") and DROPPED_WORDS.intersection(words) or name == "hidden" and not value:
+            name = name.lower()
+            if name in ("class", "id"):
+                words = _WORD.findall(value.lower())
+                if node.name == "article":
+                    if COMMENT_WORDS.intersection(words):
+                        return True
+                elif DROPPED_WORDS.intersection(words) or not node.inside and HEAD_WORDS.intersection(words):
+                    return True
+            elif name == "role" and DROPPED_ROLES.intersection(_WORD.findall(value.lower())) or name == "hidden":
                 return True
     return False
 
 
 def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    root, marked = tree(html)
+    root, marks = tree(html)
+    want = marks & 2 or marks  # the article, else what is marked as main, else everything
     hashes = subtrees(root) if template else {}
     blocks: list[str] = []
     line: list[str] = []
@@ -159,7 +171,7 @@ def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> s
                 flush()
         else:
             # outside the article only its ancestors matter
-            children = x.children if not marked or x.inside else [c for c in x.children if not isinstance(c, str)]
+            children = x.children if not want or x.inside & want else [c for c in x.children if not isinstance(c, str)]
             if x.name in BLOCK:
                 flush()
                 todo.append(None)
@@ -196,7 +208,7 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: floa
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text: one row per row of pages."""
-    templates, _ = small(stored(site_templates(pages, least_pages, share), "templates"))
+    templates, _ = small(stored(site_templates(pages, least_pages, share), "templates"), 10_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
