@@ -197,6 +197,19 @@ def test_extraction(spark):
     assert extraction.report(extraction.extract(extraction.bearings(spark), _hits(spark)), extraction.bearings(spark)).count() == 4
 
 
+def test_retrieval_end_to_end(spark):
+    chunks = fixtures.catalog(spark)
+    hits = retrieval.retrieve(fixtures.queries(spark), chunks, 3).collect()
+    best = {}
+    for r in sorted(hits, key=lambda r: (-r.score, r.chunk_id)):
+        best.setdefault(r.query_id, r.text)
+    assert set(best) == {1, 2, 3, 4, 5, 6, 7} and "bearings" in best[4].lower() and "20,300" in best[2]
+    counted = retrieval.embed(chunks, "chunk_id", encode=lambda texts: [[len(t), 1.0] for t in texts]).collect()
+    assert {r.chunk_id: r.embedding[0] for r in counted} == {r.chunk_id: len(r.text) for r in chunks.collect()}
+    got = {r.designation: (r.c_kn, r.extraction_confidence) for r in extraction.run(chunks).collect()}
+    assert got["6205"] == (14.8, "high") and got["ZA-2115"] == (90.3, "high") and set(got) == {"6205", "6204", "ZA-2115", "UER204"}
+
+
 def test_priors_and_conditions(spark):
     p = spark.createDataFrame([(100.0, [float(k) for k in range(50)], 1.0, "h", "x", "exact", {"a": "1"})], writers.PRIOR)
     back = writers.prior_from_json(writers.prior_json(p)).first()

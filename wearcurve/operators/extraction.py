@@ -100,3 +100,13 @@ def report(params: DataFrame, wanted: DataFrame) -> DataFrame:
     d = params.join(wanted.select("designation", "known_c_kn"), "designation")
     error = F.when(F.col("known_c_kn").isNotNull() & (F.col("c_kn") > 0), F.format_string(" (error: %.1f%%)", F.abs(F.col("c_kn") - F.col("known_c_kn")) / F.col("known_c_kn") * 100)).otherwise("")
     return d.select("designation", F.concat(F.format_string("%s (%s): bore %.1f mm, C %.2f kN, confidence %s", "designation", "manufacturer", "bore_mm", "c_kn", "extraction_confidence"), error).alias("line"))
+
+
+def run(chunks: DataFrame, wanted: DataFrame | None = None, k: int = 15, use_known: bool = False, encode=None) -> DataFrame:
+    """PARAMS of the wanted bearings from a table of chunks: four queries each, hits once, neighbours merged, rated, chosen."""
+    from wearcurve.operators.retrieval import retrieve
+
+    wanted = bearings(chunks.sparkSession) if wanted is None else wanted
+    q = queries(wanted).select("designation", F.struct("designation", "k").alias("query_id"), "query")
+    hits = retrieve(q.select("query_id", "query"), chunks, k, encode).select(F.col("query_id.designation").alias("designation"), "chunk_id").distinct()
+    return extract(wanted, hits.join(merged_neighbours(chunks), "chunk_id").join(wanted, "designation"), use_known)

@@ -81,3 +81,31 @@ def hybrid(queries: DataFrame, candidates: DataFrame, chunks: DataFrame, k: int
 
 def dedup_max(hits: DataFrame, key: str = "chunk_id") -> DataFrame:
     return hits.groupBy(key).agg(F.max("score").alias("score"))
+
+
+def hashed_vector(text: Column, size: int = 256) -> Column:
+    """Counts of the text's words in `size` hashed places: a stand-in where no embedding model is at hand."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
+
+
+def embed(df: DataFrame, key: str, text: str = "text", encode=None) -> DataFrame:
+    """key, embedding. encode(list of texts) -> vectors is loaded once a task and fed batch by batch; without it words are hashed."""
+    if encode is None:
+        return df.select(key, hashed_vector(F.col(text)).alias("embedding"))
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "embedding": [[float(x) for x in v] for v in encode(pdf[text].tolist())]})
+
+    return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, embedding array<double>")
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5, encode=None) -> DataFrame:
+    """query_id, chunk_id, text, score: 3k candidates of each query and of its expansions by vectors, then the hybrid ranking."""
+    q = expanded_queries(queries).select("query_id", "query", F.struct("query_id", "query").alias("qid"))
+    hits = knn(embed(q, "qid", "query", encode), embed(chunks, "chunk_id", "text", encode), 3 * k, "qid", "chunk_id")
+    return hybrid(queries, hits.select(F.col("qid.query_id").alias("query_id"), "chunk_id", "score"), chunks, k)

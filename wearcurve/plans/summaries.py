@@ -151,6 +151,24 @@ def published_comparison(spark, d):
     return summary.published_comparison(result_rows(spark, d))
 
 
+@query("prior_tier_dataset", f"{ROWS} SELECT dataset, prior_quality, round(avg(rmse), 6) AS mean_rmse, count(*) AS n FROM res GROUP BY dataset, prior_quality")
+def prior_tier_dataset(spark, d):
+    return result_rows(spark, d).groupBy("dataset", "prior_quality").agg(F.avg("rmse").alias("mean_rmse"), F.count("*").alias("n"))
+
+
+@query("model_condition_summary", f"{ROWS} SELECT model, regexp_extract(unit_id, 'Bearing(\\d)_', 1) AS condition, count(DISTINCT unit_id) AS n_units, round(avg(rmse), 6) AS mean_rmse, round(avg(mae), 6) AS mean_mae, round(avg(nasa_score), 2) AS mean_nasa, round(avg(mean_bias), 6) AS mean_bias, round(avg(detection_lead_time), 6) AS mean_lead_time FROM res GROUP BY 1, 2")
+def model_condition_summary(spark, d):
+    r = result_rows(spark, d).withColumn("condition", F.regexp_extract("unit_id", r"Bearing(\d)_", 1))
+    return summary.model_summary(r, ["model", "condition"]).withColumn("mean_nasa", F.round("mean_nasa", 2))
+
+
+@query("side_by_side", f"{ROWS}, a AS (SELECT model, avg(rmse) AS ims FROM res WHERE dataset = 'ims' AND model <> 'pid_regime' GROUP BY model), b AS (SELECT model, avg(rmse) AS femto FROM res WHERE dataset = 'femto' AND model <> 'static_curve' GROUP BY model) SELECT coalesce(a.model, b.model) AS model, round(ims, 6) AS ims, round(femto, 6) AS femto FROM a FULL JOIN b ON a.model = b.model")
+def side_by_side(spark, d):
+    """Two data sets' means beside each other; a model that one of them lacks stays."""
+    r = result_rows(spark, d).where("(dataset = 'ims' AND model <> 'pid_regime') OR (dataset = 'femto' AND model <> 'static_curve')")
+    return summary.pivoted(r, "model", "dataset", ["ims", "femto"], "rmse")
+
+
 @query("prior_tier_delta", f"{ROWS} SELECT dataset, round(avg(rmse) FILTER (WHERE prior_quality = 'exact_oem') - avg(rmse) FILTER (WHERE prior_quality = 'approximate_oem'), 6) + 0e0 AS delta_rmse FROM res GROUP BY dataset")
 def prior_tier_delta(spark, d):
     q = lambda p: F.avg(F.when(F.col("prior_quality") == p, F.col("rmse")))

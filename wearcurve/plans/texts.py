@@ -212,6 +212,24 @@ def extracted_params(spark, d):
     return extraction.extract(extraction.bearings(spark), _hits(spark)).drop("raw_text")
 
 
+@query("retrieve_hybrid")
+def retrieve_hybrid(spark, d):
+    """Vector and keyword retrieval end to end, with hashed words as vectors."""
+    return retrieval.retrieve(fixtures.queries(spark), fixtures.catalog(spark)).select("query_id", "chunk_id", "score")
+
+
+@query("full_extraction")
+def full_extraction(spark, d):
+    """Queries, retrieval, neighbours, ratings and choice in one job."""
+    return extraction.run(fixtures.catalog(spark)).drop("raw_text")
+
+
+@query("confidence_counts")
+def confidence_counts(spark, d):
+    p = extraction.extract(extraction.bearings(spark), _hits(spark))
+    return p.groupBy("extraction_confidence").agg(F.count("*").alias("n"), F.avg("c_kn").alias("mean_c_kn"))
+
+
 @query("extraction_report")
 def extraction_report(spark, d):
     w = extraction.bearings(spark)
