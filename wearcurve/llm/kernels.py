@@ -16,18 +16,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^0..P^(n-1) and their inverses modulo 2^64."""
-    if len(_powers[0]) < n:
-        n = max(n, CHUNK)
-        for k, base in enumerate((_P, _P_INV)):
-            a = np.full(n, base, U64)
-            a[0] = 1
-            _powers[k] = np.cumprod(a, dtype=U64)
-    return _powers[0][:n], _powers[1][:n]
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0..base^(n-1) modulo 2^64. Not kept: a module's variables travel with its functions."""
+    a = np.full(n, base, U64)
+    a[0] = 1
+    return np.cumprod(a, dtype=U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,7 +83,7 @@ class Words:
         after[:-1] = solid[1:]
         after[inner - 1] = False
         self.starts, self.ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-        up, down = _pow(n + 1)
+        up, down = _powers(_P, n + 1), _powers(_P_INV, n + 1)
         sums = np.zeros(n + 1, U64)
         np.cumsum((body.astype(U64) + U64(1)) * up[:n], out=sums[1:])
         self.hash = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U64) * U64(0xD6E8FEB86659FD93))
