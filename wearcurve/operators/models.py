@@ -16,9 +16,9 @@ def alarm_level(levels: dict[str, float]) -> float:
     return levels.get("alert", levels.get("warning", 1.0))
 
 
-def threshold_alarm(df: DataFrame, value: str, levels: dict[str, float] | None = None) -> DataFrame:
-    """unit_id, t, alarm (0 or 1)."""
-    return df.select("unit_id", "t", (F.col(value) >= alarm_level(levels or LEVELS)).cast("int").alias("alarm"))
+def threshold_alarm(df: DataFrame, value: str, levels: dict[str, float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """unit_id, t, alarm (0 or 1), keep."""
+    return df.select("unit_id", "t", *keep, (F.col(value) >= alarm_level(levels or LEVELS)).cast("int").alias("alarm"))
 
 
 def first_crossings(df: DataFrame, value: str, levels: dict[str, float] | None = None) -> DataFrame:
@@ -35,24 +35,24 @@ def _loop(one, n: np.ndarray, names: tuple[str, ...], shape: tuple[int, int]) ->
     return out
 
 
-def static_curve(df: DataFrame, value: str, fit_window: int | None = None, grid: bool = False) -> DataFrame:
+def static_curve(df: DataFrame, value: str, fit_window: int | None = None, grid: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """unit_id, t, fitted, predicted_rul, a, b. df has threshold. grid: b only from the kernel's grid."""
     fitter = fit.fit_grid if grid else fit.fit
 
     def kernel(x: dict[str, np.ndarray], n: np.ndarray) -> dict[str, np.ndarray]:
         return _loop(lambda u, m: fit.static(x[value][u, :m], fit_window, float(x["threshold"][u]), fitter), n, ("fitted", "predicted_rul", "a", "b"), x[value].shape)
 
-    return per_unit(df, [value, "threshold"], kernel, "fitted double, predicted_rul double, a double, b double", ("threshold",))
+    return per_unit(df, [value, "threshold"], kernel, "fitted double, predicted_rul double, a double, b double", ("threshold",), keep)
 
 
-def rolling_refit(df: DataFrame, value: str, window: int = 50, every: int = 10, grid: bool = False) -> DataFrame:
+def rolling_refit(df: DataFrame, value: str, window: int = 50, every: int = 10, grid: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """unit_id, t, fitted, predicted_rul, refit (1 where the curve was fitted anew)."""
     fitter = fit.fit_grid if grid else fit.fit
 
     def kernel(x: dict[str, np.ndarray], n: np.ndarray) -> dict[str, np.ndarray]:
         return _loop(lambda u, m: fit.rolling(x[value][u, :m], window, every, float(x["threshold"][u]), fitter), n, ("fitted", "predicted_rul", "refit"), x[value].shape)
 
-    return per_unit(df, [value, "threshold"], kernel, "fitted double, predicted_rul double, refit double", ("threshold",))
+    return per_unit(df, [value, "threshold"], kernel, "fitted double, predicted_rul double, refit double", ("threshold",), keep)
 
 
 def static_curve_sql(df: DataFrame, value: str) -> DataFrame:

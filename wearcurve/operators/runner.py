@@ -20,8 +20,8 @@ def level_or_one(c: str = "threshold"):
     return F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(0.0)), F.lit(1.0))
 
 
-def model_tracks(df: DataFrame, wanted: list[str] | None = None, grid: bool = False) -> DataFrame:
-    """unit_id, t, model, predicted_rul, alarm. df: unit_id, t, n, observed, baseline (null: no prior), threshold.
+def model_tracks(df: DataFrame, wanted: list[str] | None = None, grid: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """unit_id, t, keep, model, predicted_rul, alarm. df: unit_id, t, n, observed, baseline (null: no prior), threshold.
 
     Units without a prior get no controller; units of fewer than 50 rows no rolling refit.
     """
@@ -29,18 +29,18 @@ def model_tracks(df: DataFrame, wanted: list[str] | None = None, grid: bool = Fa
     d = df.withColumn("threshold", level_or_one())
     prior = d.where(F.col("baseline").isNotNull())
     made = {
-        "threshold_alarm": lambda: models.threshold_alarm(d, "observed").select("unit_id", "t", F.lit(None).cast("double").alias("predicted_rul"), "alarm"),
-        "static_curve": lambda: models.static_curve(d, "observed", grid=grid),
-        "rolling_refit": lambda: models.rolling_refit(d.where("n >= 50"), "observed", grid=grid),
-        "pid_adaptive": lambda: trackers.pid_track(prior),
-        "pid_regime": lambda: trackers.pid_regime_track(prior),
+        "threshold_alarm": lambda: models.threshold_alarm(d, "observed", keep=keep).select("unit_id", "t", *keep, F.lit(None).cast("double").alias("predicted_rul"), "alarm"),
+        "static_curve": lambda: models.static_curve(d, "observed", grid=grid, keep=keep),
+        "rolling_refit": lambda: models.rolling_refit(d.where("n >= 50"), "observed", grid=grid, keep=keep),
+        "pid_adaptive": lambda: trackers.pid_track(prior, keep=keep),
+        "pid_regime": lambda: trackers.pid_regime_track(prior, keep=keep),
     }
     parts = []
     for name in wanted:
         p = made[name]()
         if name != "threshold_alarm":
             p = p.withColumn("alarm", F.coalesce(F.col("predicted_rul") < ALARM_BELOW, F.lit(False)).cast("int"))
-        parts.append(p.select("unit_id", "t", F.lit(name).alias("model"), "predicted_rul", "alarm"))
+        parts.append(p.select("unit_id", "t", *keep, F.lit(name).alias("model"), "predicted_rul", "alarm"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -50,18 +50,11 @@ def benchmark_rows(df: DataFrame, dataset: str, wanted: list[str] | None = None,
     n_valid is the unit's number of rows.
     """
     actual = F.coalesce(F.col("true_rul"), life.ramp(F.col("failure_index")))
-    facts = df.select("unit_id", "t", "n", "failure_index", actual.alias("actual_rul"), "prior_quality", "equipment_type", "is_run_to_failure")
-    d = model_tracks(df, wanted, grid).join(facts, ["unit_id", "t"])
+    facts = ("n", "failure_index", "actual_rul", "prior_quality", "equipment_type", "is_run_to_failure")
+    d = model_tracks(df.withColumn("actual_rul", actual), wanted, grid, facts)
     keys = ["unit_id", "model", "n", "prior_quality", "equipment_type", "is_run_to_failure"]
-    errors = F.when(evaluation.finite("predicted_rul") & evaluation.finite("actual_rul"), F.col("predicted_rul") - F.col("actual_rul"))
-    e, f = F.col("_d"), F.col("failure_index")
-    first = F.min(F.when((F.col("alarm") > 0) & (F.col("t") < f), F.col("t")))
-    rate = F.coalesce(F.avg(F.when(F.col("t") < F.floor(F.col("n") / 4), F.col("alarm").cast("double"))), F.lit(0.0))
-    failed = F.max(f)
-    d = d.withColumn("_d", errors).groupBy(*keys).agg(
-        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.sum(F.when(e.isNotNull(), evaluation.nasa_penalty(e))).alias("nasa_score"), F.avg(e).alias("mean_bias"),
-        (failed - first).cast("long").alias("detection_lead_time"), F.when(failed.isNotNull(), rate).alias("false_alarm_rate"), F.when(failed.isNotNull(), first.isNotNull()).alias("detection_success"),
-    )
+    told = {k: c for k, c in (evaluation.rul_aggregates() | evaluation.detection_aggregates()).items() if k != "n_valid"}
+    d = d.groupBy(*keys).agg(*[c.alias(k) for k, c in told.items()])
     order = ["dataset", "unit_id", "model", "prior_quality", "equipment_type", "is_run_to_failure", "n_valid", "rmse", "mae", "nasa_score", "mean_bias", "detection_lead_time", "false_alarm_rate", "detection_success"]
     return d.select("*", F.lit(dataset).alias("dataset"), F.col("n").alias("n_valid")).withColumn("unit_id", F.col("unit_id").cast("string")).select(order)
 

@@ -12,19 +12,19 @@ from wearcurve.operators.units import in_order, per_unit
 _TRACK = "adjusted double, correction double, cumulative double, error double, p_term double, i_term double, d_term double, predicted_rul double"
 
 
-def pid_track(df: DataFrame, params: k.PIDParams = k.PIDParams()) -> DataFrame:
+def pid_track(df: DataFrame, params: k.PIDParams = k.PIDParams(), keep: tuple[str, ...] = ()) -> DataFrame:
     def kernel(x: dict[str, np.ndarray], n: np.ndarray) -> dict[str, np.ndarray]:
         return k.pid(x["observed"], x["baseline"], n, x["threshold"], params)
 
-    return per_unit(df, ["observed", "baseline", "threshold"], kernel, _TRACK, ("threshold",))
+    return per_unit(df, ["observed", "baseline", "threshold"], kernel, _TRACK, ("threshold",), keep)
 
 
-def pid_regime_track(df: DataFrame, params: k.PIDParams = k.PIDParams(), vol_window: int = 15, vol_threshold: float = 2.0, gain: float = 2.5) -> DataFrame:
+def pid_regime_track(df: DataFrame, params: k.PIDParams = k.PIDParams(), vol_window: int = 15, vol_threshold: float = 2.0, gain: float = 2.5, keep: tuple[str, ...] = ()) -> DataFrame:
     def kernel(x: dict[str, np.ndarray], n: np.ndarray) -> dict[str, np.ndarray]:
         made = k.pid_regime(x["observed"], x["baseline"], n, x["threshold"], params, vol_window, vol_threshold, gain)
         return made | {"regime": np.where(made["accelerated"], "accelerated", "normal")}
 
-    return per_unit(df, ["observed", "baseline", "threshold"], kernel, _TRACK + ", regime string", ("threshold",))
+    return per_unit(df, ["observed", "baseline", "threshold"], kernel, _TRACK + ", regime string", ("threshold",), keep)
 
 
 def pid_final_state(df: DataFrame, params: k.PIDParams = k.PIDParams()) -> DataFrame:

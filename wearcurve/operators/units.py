@@ -29,9 +29,10 @@ def trailing(rows: int, unit: str = "unit_id", t: str = "t"):
 
 def trajectory(df: DataFrame, unit: str, order: list[str], **values: Column | str) -> DataFrame:
     """unit_id, t (0, 1, ...), n (rows of the unit) and the values, by a total order."""
-    w = Window.partitionBy(unit).orderBy(*order)
     named = [(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in values.items()]
-    return df.select(F.col(unit).alias("unit_id"), (F.row_number().over(w) - 1).cast("long").alias("t"), F.count("*").over(Window.partitionBy(unit)).alias("n"), *named)
+    d = df.select(F.col(unit).alias("unit_id"), *[F.col(o).alias(f"_o{k}") for k, o in enumerate(order)], *named)  # named first: later windows by unit_id find its rows together
+    w = Window.partitionBy("unit_id").orderBy(*[f"_o{k}" for k in range(len(order))])
+    return d.select("unit_id", (F.row_number().over(w) - 1).cast("long").alias("t"), F.count("*").over(by_unit()).alias("n"), *values)
 
 
 def first_index(predicate: Column, t: str = "t") -> Column:
@@ -39,16 +40,20 @@ def first_index(predicate: Column, t: str = "t") -> Column:
     return F.min(F.when(predicate, F.col(t)))
 
 
-def per_unit(df: DataFrame, columns: list[str], kernel: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]], schema: str, constant: tuple[str, ...] = ()) -> DataFrame:
+def per_unit(df: DataFrame, columns: list[str], kernel: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]], schema: str, constant: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
     """Runs a vectorised kernel over whole units.
 
     df has unit_id, t and the columns. The kernel gets units x time arrays (constant ones: one value a unit) and the lengths,
-    and returns arrays of the same shape. Units are dealt by unit_id, ordered by t, and taken in blocks of similar memory, so a task
-    holds BLOCK_ROWS rows, or one unit.
+    and returns arrays of the same shape. Columns in keep go through beside the results, so that no join has to bring them back.
+
+    The row number makes Spark deal rows by unit_id and order them by t only where they aren't yet: a trajectory isn't shuffled again.
+    Units are taken in blocks of similar memory, so a task holds BLOCK_ROWS rows, or one unit.
     """
     kinds = T._parse_datatype_string(schema)
-    target = pa.schema([("unit_id", pa.int64()), ("t", pa.int64()), *[(f.name, {"double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[f.dataType.simpleString()]) for f in kinds]])
-    d = df.select(F.col("unit_id").cast("long").alias("unit_id"), F.col("t").cast("long").alias("t"), *columns).repartition("unit_id").sortWithinPartitions("unit_id", "t")
+    types = {"double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+    names = ["unit_id", "t", *keep, *[f.name for f in kinds]]
+    d = df.select(F.col("unit_id").cast("long").alias("unit_id"), F.col("t").cast("long").alias("t"), *dict.fromkeys([*columns, *keep]), F.row_number().over(Window.partitionBy("unit_id").orderBy("t")).alias("_k"))
+    result = T.StructType([T.StructField("unit_id", T.LongType()), T.StructField("t", T.LongType()), *[df.schema[k] for k in keep], *kinds])
 
     def block(t: pa.Table) -> pa.RecordBatch:
         unit = t.column("unit_id").to_numpy()
@@ -75,12 +80,11 @@ def per_unit(df: DataFrame, columns: list[str], kernel: Callable[[dict[str, np.n
             for k, v in kernel(padded, m).items():
                 flat.setdefault(k, np.empty(len(unit), v.dtype))[at] = v[row, step]
             i = j
-        cols = [t.column("unit_id").combine_chunks(), t.column("t").combine_chunks()]
-        for f in target:
-            if f.name not in ("unit_id", "t"):
-                v = flat[f.name]
-                cols.append(pa.array(v, f.type, mask=np.isnan(v)) if v.dtype.kind == "f" else pa.array(v.tolist() if v.dtype.kind in "OU" else v, f.type))
-        return pa.RecordBatch.from_arrays(cols, schema=target)
+        cols = [t.column(c).combine_chunks() for c in ("unit_id", "t", *keep)]
+        for f in kinds:
+            v, kind = flat[f.name], types[f.dataType.simpleString()]
+            cols.append(pa.array(v, kind, mask=np.isnan(v)) if v.dtype.kind == "f" else pa.array(v.tolist() if v.dtype.kind in "OU" else v, kind))
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -98,4 +102,4 @@ def per_unit(df: DataFrame, columns: list[str], kernel: Callable[[dict[str, np.n
         if held:
             yield block(pa.Table.from_batches(held))
 
-    return d.mapInArrow(run, T.StructType([T.StructField("unit_id", T.LongType()), T.StructField("t", T.LongType()), *kinds]))
+    return d.mapInArrow(run, result)

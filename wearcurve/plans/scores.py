@@ -85,8 +85,8 @@ def _told(df):
 
 
 def _scored(spark, d):
-    t = tracked(spark, d)
-    return trackers.pid_track(t).join(t.select("unit_id", "t", "n", (F.col("n") - 1 - F.col("t")).cast("double").alias("actual_rul"), (F.col("n") - 1).alias("failure_index")), ["unit_id", "t"])
+    t = tracked(spark, d).withColumn("actual_rul", (F.col("n") - 1 - F.col("t")).cast("double"))
+    return trackers.pid_track(t, keep=("actual_rul",))
 
 
 @query("pid_metrics", f"WITH RECURSIVE {PID}, m AS (SELECT unit_id, {_ERR} AS d FROM pid) SELECT unit_id, {_METRICS} FROM m GROUP BY unit_id")
@@ -134,9 +134,8 @@ _SQL_MODELS = ["threshold_alarm", "static_curve", "pid_adaptive", "pid_regime"]
     f"SELECT model, {_METRICS}, round(avg(alarm) FILTER (WHERE t < n // 4), 4) AS false_alarm_rate FROM scored GROUP BY model",
 )
 def compare_models(spark, d):
-    t = tracked(spark, d).withColumn("observed", F.col("observed"))
-    tracks = runner.model_tracks(t, _SQL_MODELS, grid=True).join(t.select("unit_id", "t", "n", (F.col("n") - 1).alias("failure_index"), (F.col("n") - 1 - F.col("t")).cast("double").alias("actual_rul")), ["unit_id", "t"])
-    c = evaluation.compare_models(tracks)
+    t = tracked(spark, d).withColumns({"failure_index": F.col("n") - 1, "actual_rul": (F.col("n") - 1 - F.col("t")).cast("double")})
+    c = evaluation.compare_models(runner.model_tracks(t, _SQL_MODELS, grid=True, keep=("n", "failure_index", "actual_rul")))
     return _told(c).select("model", "n_valid", "rmse", "mae", "nasa_score", "mean_bias", F.round("false_alarm_rate", 4).alias("false_alarm_rate"))
 
 
