@@ -45,6 +45,15 @@ def test_odd_rows_and_empty(spark, docs):
     assert shuffle.shuffled(docs([])).count() == 0
 
 
+def test_buckets_of_carried_records_follow_bytes(spark, docs, monkeypatch):
+    monkeypatch.setattr(shuffle, "BYTES_PER_BUCKET", 1000)
+    d = docs([(i, f"text {i} " * 20) for i in range(200)])
+    got = shuffle.shuffled(d, carry=("lang",), n_shards=2).collect()
+    for s in (0, 1):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert {r.carried.lang for r in got} == {"en"}
+
+
 def test_written_shards_hold_all_columns(spark, docs, tmp_path):
     d = docs([(i, f"t{i}") for i in range(50)])
     shuffle.write_shards(d, str(tmp_path / "out"))

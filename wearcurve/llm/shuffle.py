@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 
 from wearcurve.llm.common import small, stored
 
-ROWS_PER_BUCKET = 8192
+#: What a task holds at once: so many rows, and of carried records about so many bytes of text.
+ROWS_PER_BUCKET, BYTES_PER_BUCKET = 8192, 64 << 20
 SEED = 20_240_607
 
 
@@ -47,7 +48,8 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
 def shuffled(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int = 8, carry: tuple[str, ...] = (), rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = SEED) -> DataFrame:
     """key, size, text_crc32, shard, grown_shard, slot, and carried (a struct of the columns named in carry): one row per row of df. The memory of a task is that of rows_per_bucket records."""
     body = F.coalesce(F.col(text), F.lit(""))
-    buckets = max(1, math.ceil(df.count() / n_shards / rows_per_bucket))
+    rows, size = df.count(), (df.agg(F.sum(F.octet_length(body))).first()[0] or 0) if carry else 0
+    buckets = max(1, math.ceil(max(rows / rows_per_bucket, size / BYTES_PER_BUCKET) / n_shards))
     d = df.select(F.col(key), *([F.struct(*carry).alias("carried")] if carry else []), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     d = d.select(
         "*",
