@@ -87,7 +87,8 @@ def hashed_vector(text: Column, size: int = 256) -> Column:
     """Counts of the text's words in `size` hashed places: a stand-in where no embedding model is at hand."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
+    counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(own, lambda p: p == k)).cast("double"))
+    return F.get(F.transform(F.array(places), counts), F.lit(0))  # the places are computed once
 
 
 def embed(df: DataFrame, key: str, text: str = "text", encode=None) -> DataFrame:
