@@ -59,3 +59,36 @@ def test_written_shards_hold_all_columns(spark, docs, tmp_path):
     shuffle.write_shards(d, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.columns == [*d.columns, "shard_no"] and back.count() == 50 and back.where("shard <> 'x'").count() == 0
+
+
+def test_results_are_read_from_written_shards(spark, docs, tmp_path, monkeypatch):
+    from wearcurve.llm import queries
+
+    rows = [(i, f"text {i} é") for i in range(300)] + [(300, None), (None, "null id"), (7, "again")]
+    docs(rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(shuffle, "shared_dir", lambda s, what: str(tmp_path / what))
+    monkeypatch.setattr(shuffle, "BYTES_PER_BUCKET", 100)
+    got = {(r.doc_id, r.size, r.text_crc32): (r.shard, r.slot) for r in queries.op5_sharding(spark, str(tmp_path)).collect()}
+    shards = spark.read.parquet(str(tmp_path / "shards" / "t"))
+    assert shards.columns == ["doc_id", "text", "lang", "source", "n_chars", "slot_no", "shard_no"]
+    body = lambda t: (t or "").encode()
+    assert got == {(r.doc_id, len(body(r.text)) + 1, zlib.crc32(body(r.text))): (r.shard_no, r.slot_no) for r in shards.collect()} and len(got) == len(rows)
+    assert sorted((i or -1, t or "") for i, t in rows) == sorted((r.doc_id or -1, r.text or "") for r in shards.collect())
+    for folder in (tmp_path / "shards" / "t").glob("shard_no=*"):
+        slots = [r.slot_no for f in sorted(folder.glob("*.parquet")) for r in spark.read.parquet(str(f)).collect()]
+        assert len(list(folder.glob("*.parquet"))) > 1 and slots == list(range(len(slots)))
+
+
+def test_lost_and_damaged_texts_show(spark, docs, monkeypatch):
+    real = shuffle.write_shards
+
+    def damaged(df, path, *a, **k):
+        real(df.where("doc_id <> 3").withColumn("text", shuffle.F.expr("if(doc_id = 4, 'changed', text)")), path, *a, **k)
+
+    monkeypatch.setattr(shuffle, "write_shards", damaged)
+    got = {r.doc_id: r.size for r in shuffle.sharded(docs([(i, f"t{i}") for i in range(9)], extra=False)).collect()}
+    assert 3 not in got and got[4] == 8 and got[5] == 3
+
+
+def test_sharding_of_no_documents(spark, docs):
+    assert shuffle.sharded(docs([], extra=False)).count() == 0

@@ -28,7 +28,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = shuffle.shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = shuffle.sharded(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
