@@ -58,6 +58,30 @@ def test_planted_copies_equal_brute_force(spark, docs):
     assert got == want
 
 
+def test_edited_copies_beside_one_exact_copy(spark, docs):
+    item = [f"v{i}" for i in range(40)]
+    edited_copy = [*item[:20], "changed", *item[21:]]
+    rows = [(i, f"doc {i} {' '.join(edited_copy)} end") for i in range(100)] + [(100, f"x {' '.join(item)} y")]
+    got = {r.doc_id: r.similarity for r in decontaminate.contaminated(docs(rows), bench(spark, [(1, " ".join(item))])).collect()}
+    assert set(got) == set(range(101)) and got[100] == 1.0 and abs(got[0] - 77 / 80) < 1e-9
+
+
+def test_bound_loses_no_hit(spark, docs):
+    rng = random.Random(11)
+    few = [f"u{i}" for i in range(12)]  # so that seeds occur everywhere
+    items = [(k, " ".join(rng.choice(few) for _ in range(rng.choice([6, 20, 70])))) for k in range(9)]
+    rows = [(i, " ".join(rng.choice(few + WORDS[:40]) for _ in range(15)) + " " + edited(rng, items[i % 9][1], rng.choice([0.1, 0.3]))) for i in range(60)]
+    d, b = docs(rows), bench(spark, items)
+    got = set(map(tuple, decontaminate.contaminated(d, b).collect()))
+    with_all = decontaminate._passages
+    try:
+        decontaminate._passages = lambda w, items, similarity: with_all(w, items, 0.0)
+        every = set(map(tuple, decontaminate.contaminated(d, b).collect()))
+    finally:
+        decontaminate._passages = with_all
+    assert got == every and len(got) >= 60
+
+
 def test_spans_and_blocks(spark, docs, monkeypatch):
     rng = random.Random(9)
     items = [(k, prose(rng, 30)) for k in range(6)]

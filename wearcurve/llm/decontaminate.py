@@ -1,11 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment over words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment over words.
 
-Words are lower-cased (A-Z) and rid of ASCII punctuation. Every 3-word sequence of a benchmark item is a seed. One pass over
-the documents finds the seeds and cuts out the passage around each run of hits on about the same diagonal. Then seeds
-are counted over all documents, and those common for their item are dropped: a seed is rare if it occurs at most
-RARE_TIMES as often as the item's least common seed that occurs (or at most RARE_LEAST times), so an item that leaked
-everywhere keeps its seeds. Passages with a rare seed are aligned with the item (match 2, mismatch -1, gap -1). A hit
-has at least `similarity` of the score of a full copy, or LONG_MATCH in score.
+Words are lower-cased (A-Z) and rid of ASCII punctuation. Every 3-word sequence of a benchmark item is a seed, however often it occurs. One pass
+over the documents finds the seeds and cuts out the passage around each run of hits on about the same diagonal. A passage whose words could
+not give the score asked for even if all that are in the item matched in order is left out (a bound that loses no hit); all others are aligned
+with the item (match 2, mismatch -1, gap -1). A hit has at least `similarity` of the score of a full copy, or LONG_MATCH in score.
 
 Benchmarks are taken in blocks of ITEMS_PER_BLOCK items, each against all documents, so what the executors hold is bounded.
 
@@ -16,18 +14,19 @@ each; null ids are kept; several rows with one doc_id count as one document (its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearcurve.llm.common import small, stored
 from wearcurve.llm.kernels import PUNCTUATION, U64, Words, chunks, ngrams
 
 SEED = 3
-RARE_TIMES, RARE_LEAST = 8, 16
 ITEMS_PER_BLOCK = 20_000
+#: Passages that are held and aligned together.
+PASSAGES = 8192
 SIMILARITY = 0.5
 LONG_MATCH = 60
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -46,12 +45,13 @@ class Items:
         order = np.argsort(flat, kind="stable")
         self.seeds, self.item, self.place = flat[order], item[order], place[order]
         self.lengths = np.array([len(x) for x in self.words])
+        self.sets = [np.unique(x) for x in self.words]
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.seeds >> U64(44)).astype(np.int64)] = True
 
 
-def _passages(w: Words, items: Items) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
-    """(text, item, first word, words, seeds) around each run of hits."""
+def _passages(w: Words, items: Items, similarity: float) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(text, item, first word, words) around each run of hits, of passages with enough words of the item for a hit."""
     grams = ngrams(w.hash, SEED)
     at = np.flatnonzero(items.table[(grams >> U64(44)).astype(np.int64)])
     at = at[w.doc[at] == w.doc[at + SEED - 1]]
@@ -72,7 +72,10 @@ def _passages(w: Words, items: Items) -> Iterator[tuple[int, int, int, np.ndarra
         d, m = int(doc[a]), int(size[a])
         slack = m // 4 + 4
         first, last = max(int(w.first[d]), int(begin[a]) - slack), min(int(w.first[d + 1]), int(begin[b - 1]) + m + slack)
-        yield d, int(item[a]), first - int(w.first[d]), w.hash[first:last], np.unique(items.seeds[k[a:b]])
+        words, own = w.hash[first:last], items.sets[int(item[a])]
+        shared = own[np.searchsorted(own, words).clip(max=len(own) - 1)] == words
+        if MATCH * np.count_nonzero(shared) >= min(similarity * MATCH * m, LONG_MATCH):
+            yield d, int(item[a]), first - int(w.first[d]), words
 
 
 def align(xs: list[np.ndarray], ys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,46 +103,38 @@ def _block(docs: DataFrame, rows: list, similarity: float) -> DataFrame:
     held = spark.sparkContext.broadcast(Items(rows))
     ids = [r["item_id"] for r in rows]
 
+    def score(items: Items, item: np.ndarray, first: np.ndarray, words: tuple[np.ndarray, ...]) -> list[tuple[int, int, int, int]]:
+        """(place in the passages, score, start, end) of each hit."""
+        out = []
+        sizes = np.array([len(x) for x in words])
+        order = np.argsort(items.lengths[item] * 1000 + sizes, kind="stable")
+        a = 0
+        while a < len(order):  # as many pairs at once as fit into about 2^21 cells a step
+            b = a + max(1, min(512, (1 << 21) // max(1, int(sizes[order[a:]].max()))))
+            part = order[a:b]
+            xs, ys = [items.words[item[k]] for k in part], [words[k] for k in part]
+            best, end = align(xs, ys)
+            good = np.flatnonzero((best >= similarity * MATCH * items.lengths[item[part]]) | (best >= LONG_MATCH))
+            if len(good):
+                _, back = align([xs[g][::-1] for g in good], [ys[g][: end[g]][::-1] for g in good])
+                out += [(int(part[g]), int(best[g]), int(first[part[g]] + end[g] - back[k]), int(first[part[g]] + end[g])) for k, g in enumerate(good)]
+            a = b
+        return out
+
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = held.value
         for batch in batches:
             for i, j in chunks(batch.column("text")):
-                found = list(_passages(Words(batch.column("text").slice(i, j - i), PUNCTUATION), items))
-                if found:
-                    doc, item, first, words, seeds = zip(*found, strict=True)
-                    longs = lambda xs: pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).take(pa.array(doc)), pa.array(item, pa.int32()), pa.array(first, pa.int64()), longs(words), longs(seeds)], names=["doc_id", "item", "first", "words", "seeds"])
-
-    found = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(seek, "doc_id long, item int, first long, words array<long>, seeds array<long>"), "passages")
-    times = found.select("item", F.explode("seeds").alias("seed")).groupBy("item", "seed").agg(F.count("*").alias("n"))
-    least = times.groupBy("item").agg(F.min("n").alias("least"))
-    rare, _ = small(stored(times.join(least, "item").where(f"n <= greatest({RARE_LEAST}, {RARE_TIMES} * least)").groupBy("item").agg(F.collect_list("seed").alias("rare")), "seeds"))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = held.value
-        for batch in batches:
-            item, first = batch.column("item").to_numpy(), batch.column("first").to_numpy()
-            values, offs = batch.column("words").flatten().to_numpy().view(U64), batch.column("words").offsets.to_numpy()
-            offs = offs - offs[0]
-            out = []
-            order = np.argsort(items.lengths[item] * 1000 + np.diff(offs), kind="stable")
-            a = 0
-            while a < len(order):  # as many pairs at once as fit into about 2^21 cells a step
-                b = a + max(1, min(512, (1 << 21) // max(1, int(np.diff(offs)[order[a:]].max()))))
-                part = order[a:b]
-                xs, ys = [items.words[item[k]] for k in part], [values[offs[k] : offs[k + 1]] for k in part]
-                best, end = align(xs, ys)
-                good = np.flatnonzero((best >= similarity * MATCH * items.lengths[item[part]]) | (best >= LONG_MATCH))
-                if len(good):
-                    _, back = align([xs[g][::-1] for g in good], [ys[g][: end[g]][::-1] for g in good])
-                    out += [(int(part[g]), int(best[g]), int(first[part[g]] + end[g] - back[k]), int(first[part[g]] + end[g])) for k, g in enumerate(good)]
-                a = b
-            if out:
-                row, best, start, stop = (np.array(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array([ids[k] for k in item[row]], pa.int64()), pa.array(best, pa.int64()), pa.array(best / (MATCH * items.lengths[item[row]])), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["doc_id", "item_id", "score", "similarity", "start_word", "end_word"])
-
-    kept = found.join(rare, "item").where(F.arrays_overlap("seeds", "rare")).select("doc_id", "item", "first", "words")
-    return kept.mapInArrow(score, "doc_id long, item_id long, score long, similarity double, start_word long, end_word long")
+                found = _passages(Words(batch.column("text").slice(i, j - i), PUNCTUATION), items, similarity)
+                while part := list(islice(found, PASSAGES)):
+                    doc, item, first, words = zip(*part, strict=True)
+                    doc, item = np.array(doc), np.array(item)
+                    out = score(items, item, np.array(first), words)
+                    if out:
+                        row, best, start, stop = (np.array(x) for x in zip(*out, strict=True))
+                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).take(pa.array(doc[row])), pa.array([ids[k] for k in item[row]], pa.int64()), pa.array(best, pa.int64()), pa.array(best / (MATCH * items.lengths[item[row]])), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["doc_id", "item_id", "score", "similarity", "start_word", "end_word"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(seek, "doc_id long, item_id long, score long, similarity double, start_word long, end_word long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
