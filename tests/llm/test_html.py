@@ -94,3 +94,11 @@ def test_odd_rows_and_empty(spark):
     by = {r.page_id: r.text for r in got}
     assert by[1] == "" and by[2] == "" and by[None] == "x" and by[3].count("\n") == 19_999 and by[4] == "deep"
     assert html.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_articles_in_dropped_elements_are_no_region():
+    assert html.main_text("<main><p>text</p></main><aside><article>teaser</article></aside>") == "text"
+    assert html.main_text("<div><p>story</p></div><article class='comment'>c</article>") == "story"
+    assert html.main_text("<p>body text</p><div class=related><article>teaser</article><main>no</main></div>") == "body text"
+    assert html.main_text("<main><p>text</p><article><img src=x></article></main>") == "text"
+    assert html.main_text("<p>text</p><main><article> </article></main>") == "text"

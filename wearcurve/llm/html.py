@@ -1,9 +1,10 @@
 """Main text of HTML pages by removal of site templates.
 
 Pass one hashes the subtrees of container elements (tags and text, without attributes) and counts, per host, on how many pages each
-occurs. A subtree on many pages of its host (at least LEAST_PAGES, and SHARE of them) is part of the site's template. Pass two deletes those
-subtrees, and elements that never hold main text (by name, role or class), and gives the text of the article (else of what is marked as
-main, else of the body) as blocks. Within an article only containers can be template parts; paragraphs, headings and list items stay, however often they recur.
+occurs;  A subtree on many pages of its host (at least LEAST_PAGES, and SHARE of them) is part of
+the site's template. Pass two deletes those subtrees, and elements that never hold main text
+(by name, role or class), and gives the text of the article (else of what is marked as main, else of the body; also where the choice before has no text) as blocks.
+Marks of readers' comments and within deleted elements don't count. Within an article only containers can be template parts; paragraphs, headings and list items stay, however often they recur.
 
 Defined results: a null or empty html gives an empty text; a null url, or one without a host, belongs to the host ''; null page_ids
 and repeated rows are kept; malformed markup is read as far as it goes; other columns are not read.
@@ -73,16 +74,17 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
 
 
 class Node:
-    __slots__ = ("name", "attributes", "children", "inside")
+    __slots__ = ("name", "attributes", "children", "mark", "inside", "holds", "gone")
 
-    def __init__(self, name: str, attributes: str, inside: int):
-        self.name, self.attributes, self.children, self.inside = name, attributes, [], inside
+    def __init__(self, name: str, attributes: str, mark: int):
+        self.name, self.attributes, self.children, self.mark = name, attributes, [], mark
+        self.inside, self.holds, self.gone = mark, mark, False
 
 
 def tree(html: str) -> tuple[Node, int]:
-    """The root, and which marks there are: 1 for main, 2 for article. inside: the marks that the node has or is in."""
+    """The root, and which marks there are: 1 for main, 2 for article, without those in dropped elements. inside: the marks that the node has or is in; holds: that it has or that are in it."""
     root = Node("", "", 0)
-    stack, marks = [root], 0
+    stack = [root]
     for kind, name, value in tokens(html):
         if kind == "text":
             stack[-1].children.append(value)
@@ -98,8 +100,7 @@ def tree(html: str) -> tuple[Node, int]:
                     if stack[k].name == "table":
                         break
             mark = 2 if name == "article" else 1 if name == "main" or 'role="main"' in value else 0
-            marks |= mark
-            node = Node(name, value, stack[-1].inside | mark)
+            node = Node(name, value, mark)
             stack[-1].children.append(node)
             stack.append(node)
         else:
@@ -107,7 +108,19 @@ def tree(html: str) -> tuple[Node, int]:
                 if stack[k].name == name:
                     del stack[k:]
                     break
-    return root, marks
+    todo, order = [root], []
+    while todo:  # parents before children
+        node = todo.pop()
+        for c in node.children:
+            if not isinstance(c, str):
+                c.inside = node.inside | c.mark
+                c.gone = dropped(c)
+                if not c.gone:
+                    todo.append(c)
+                    order.append((node, c))
+    for node, c in reversed(order):
+        node.holds |= c.holds
+    return root, root.holds
 
 
 def subtrees(root: Node) -> dict[int, int]:
@@ -147,8 +160,15 @@ def dropped(node: Node) -> bool:
 
 def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> str:
     root, marks = tree(html)
-    want = marks & 2 or marks  # the article, else what is marked as main, else everything
-    hashes = subtrees(root) if template else {}
+    return region_text(root, marks, subtrees(root) if template else {}, template)
+
+
+def region_text(root: Node, marks: int, hashes: dict[int, int], template: frozenset[int] | set[int] = frozenset()) -> str:
+    """The text of the article, else of what is marked as main, else of everything: the first of them that has any."""
+    return next((s for want in (2, 1, 0) if (marks & want or not want) and (s := _text(root, want, hashes, template))), "")
+
+
+def _text(root: Node, want: int, hashes: dict[int, int], template: frozenset[int] | set[int]) -> str:
     blocks: list[str] = []
     line: list[str] = []
 
@@ -166,7 +186,7 @@ def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> s
             flush()
         elif isinstance(x, str):
             line.append(x)
-        elif x is not root and (dropped(x) or hashes.get(id(x)) in template):
+        elif x is not root and (x.gone or hashes.get(id(x)) in template):
             if x.name in BLOCK:
                 flush()
         else:
