@@ -96,6 +96,21 @@ def test_odd_rows_and_empty(spark):
     assert html.extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    story = "<body><div><article><p>one story</p><div><p>its box</p></div><ul><li>item</li></ul></article></div></body>"
+    rows = [(i, f"http://copies.example/{i}", f"<div>{i % 3}</div>{story}", None, None) for i in range(10)] + [(100 + i, f"http://copies.example/x{i}", f"<article><p>other {i}</p></article>", None, None) for i in range(10)]
+    plain = "<body><div><p>a page</p><section><p>without marks</p></section></div></body>"
+    rows += [(200 + i, f"http://plain.example/{i}", plain, None, None) for i in range(12)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {got[i] for i in range(10)} == {"one story\nits box\nitem"} and got[104] == "other 4"
+    assert {got[200 + i] for i in range(12)} == {"a page\nwithout marks"}
+
+
+def test_templates_around_the_article_stay():
+    page = "<div><p>bar</p><div role=\"main\"><article><p>story</p></article></div></div>"
+    assert html.main_text(page, frozenset(html.subtrees(html.tree(page)[0]).values())) == "story"
+
+
 def test_articles_in_dropped_elements_are_no_region():
     assert html.main_text("<main><p>text</p></main><aside><article>teaser</article></aside>") == "text"
     assert html.main_text("<div><p>story</p></div><article class='comment'>c</article>") == "story"

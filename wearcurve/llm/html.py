@@ -1,8 +1,8 @@
 """Main text of HTML pages by removal of site templates.
 
 Pass one hashes the subtrees of container elements (tags and text, without attributes) and counts, per host, on how many pages each
-occurs;  A subtree on many pages of its host (at least LEAST_PAGES, and SHARE of them) is part of
-the site's template. Pass two deletes those subtrees, and elements that never hold main text
+occurs; pages of equal main text (copies of one page) count once. A subtree on many pages of its host (at least LEAST_PAGES, and SHARE of them) is part of
+the site's template. Pass two deletes those subtrees (unless they hold the chosen article or main element), and elements that never hold main text
 (by name, role or class), and gives the text of the article (else of what is marked as main, else of the body; also where the choice before has no text) as blocks.
 Marks of readers' comments and within deleted elements don't count. Within an article only containers can be template parts; paragraphs, headings and list items stay, however often they recur.
 
@@ -186,7 +186,7 @@ def _text(root: Node, want: int, hashes: dict[int, int], template: frozenset[int
             flush()
         elif isinstance(x, str):
             line.append(x)
-        elif x is not root and (x.gone or hashes.get(id(x)) in template):
+        elif x is not root and (x.gone or hashes.get(id(x)) in template and not x.holds & want):
             if x.name in BLOCK:
                 flush()
         else:
@@ -211,18 +211,18 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, values = [], []
-            for h, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                if html:
-                    root, _ = tree(html)
-                    own = set(subtrees(root).values())
-                    hosts += [h] * len(own)
-                    values += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(values, pa.int64())], names=["host", "hash"])
-
-    named = pages.select(host().alias("host"), "html")
-    sizes = named.groupBy("host").agg(F.count("*").alias("n"))
-    counted = named.mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("m")).where(f"m >= {least_pages}")
+            contents, values = [], []
+            for html in batch.column("html").to_pylist():
+                root, marks = tree(html or "")
+                hashes = subtrees(root)
+                contents.append(xxhash.xxh3_128_digest(region_text(root, marks, hashes)))
+                values.append(sorted(set(hashes.values())))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(contents, pa.binary()), pa.array(values, pa.list_(pa.int64()))], names=["host", "content", "hashes"])
+
+    found = pages.select(host().alias("host"), "html").mapInArrow(run, "host string, content binary, hashes array<long>")
+    distinct = stored(found.groupBy("host", "content").agg(F.min("hashes").alias("hashes")), "contents")
+    sizes = distinct.groupBy("host").agg(F.count("*").alias("n"))
+    counted = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("m")).where(f"m >= {least_pages}")
     return counted.join(sizes, "host").where(F.col("m") >= share * F.col("n")).groupBy("host").agg(F.collect_list("hash").alias("template"))
 
 
