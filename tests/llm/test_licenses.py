@@ -63,3 +63,9 @@ def test_odd_rows_and_empty(spark, docs):
     assert licenses.scan(docs(ODD)).count() == 0
     assert licenses.scan(docs([])).count() == 0
     assert licenses.scan(docs([(None, licenses.TEMPLATES[1][2])])).first().license == "MIT"
+
+
+def test_every_kind_of_notice_is_found(spark, docs):
+    got = {(r.doc_id, r.license) for r in licenses.scan(docs([(k, f"word {t} word") for k, (_, _, t) in enumerate(licenses.TEMPLATES)])).collect()}
+    assert got >= {(k, license) for k, (license, _, _) in enumerate(licenses.TEMPLATES)}
+    assert {"All-Rights-Reserved", "BSD-2-Clause", "BSD-3-Clause", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"} <= {license for _, license in got}

@@ -26,6 +26,22 @@ from pyspark.sql import functions as F
 from wearcurve.llm.kernels import PUNCTUATION, Words, chunks
 
 COVERAGE = 0.8
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation, either version {version} of the License, "
+    "or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+    "See the GNU {name}General Public License for more details."
+)
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_FREEDOM = "The licenses for most software are designed to take away your freedom to share and change it. By contrast,"
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {third}"
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 #: The public texts of licenses and of the usual notices. (license, name of the template, text)
 TEMPLATES: list[tuple[str, str, str]] = [
     ("Apache-2.0", "line", "Licensed under the Apache License, Version 2.0."),
@@ -67,6 +83,38 @@ TEMPLATES: list[tuple[str, str, str]] = [
         "See the GNU General Public License for more details.",
     ),
     ("MPL-2.0", "notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("All-Rights-Reserved", "line", "All rights reserved."),
+    ("GPL-2.0", "line", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", "line", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "line", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "line", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("BSD-2-Clause", "line", "Released under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "line", "Released under the BSD 3-Clause License."),
+    *[(f"CC-{kind}-4.0", "line", f"Licensed under CC {kind} 4.0.") for kind in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")],
+    *[
+        (f"CC-{kind}-4.0", "notice", f"This work is licensed under the Creative Commons {name} 4.0 International License.")
+        for kind, name in (("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+    ],
+    *[(f"{kind}-{version}", "notice", _GNU.format(name=name, version=version.removesuffix(".0"))) for kind, name, version in (("GPL", "", "2.0"), ("LGPL", "Lesser ", "2.1"), ("LGPL", "Lesser ", "3.0"), ("AGPL", "Affero ", "3.0"))],
+    ("BSD-2-Clause", "text", _BSD.format(third="")),
+    ("BSD-3-Clause", "text", _BSD.format(third="Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")),
+    (
+        "Apache-2.0",
+        "head",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "
+        '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.',
+    ),
+    *[
+        (f"{kind}-{version}", "head", f"GNU {name}GENERAL PUBLIC LICENSE Version {version.removesuffix('.0')}, {date} Copyright (C) Free Software Foundation, Inc. {_VERBATIM} {more}")
+        for kind, name, version, date, more in (
+            ("GPL", "", "2.0", "June 1991", f"Preamble {_FREEDOM} the GNU General Public License is intended to guarantee your freedom to share and change free software"),
+            ("GPL", "", "3.0", "29 June 2007", "Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+            ("LGPL", "LESSER ", "2.1", "February 1999", f"This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1. Preamble {_FREEDOM} the GNU General Public Licenses are intended to guarantee your freedom"),
+            ("LGPL", "LESSER ", "3.0", "29 June 2007", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+            ("AGPL", "AFFERO ", "3.0", "19 November 2007", "Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+        )
+    ],
+    ("MPL-2.0", "head", 'Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.'),
 ]
 
 
