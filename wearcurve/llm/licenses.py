@@ -4,7 +4,9 @@ A template's words are looked for in windows of twice its length. In a window, w
 are anchors; the longest increasing run of their places is kept, and the gaps between them are aligned in the same way. A gap
 without anchors is matched by its common head and tail, then by a longest common subsequence. Coverage is the share of the template's words
 that are matched. Only windows with enough of the template's words are aligned, by bounds that no match of the
-asked coverage can miss. After a match the search goes on behind it.
+asked coverage can miss. After a match the search goes on behind it. A match must hold the words that tell its license from others (TELLING), and
+none that tell another; of matches that share most of their words, the one with the most matched words is kept (of those, that of higher coverage).
+Licenses without their full text here are found by their notices and by the opening of their texts.
 
 Words are lower-cased (A-Z) and rid of ASCII punctuation.
 
@@ -116,6 +118,21 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ],
     ("MPL-2.0", "head", 'Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.'),
 ]
+#: Of a license: words that a match must hold (those that its template has; one of those between bars), and words that it must not hold, which tell other licenses.
+_OTHER_CC = {"BY": ("nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives"), "BY-SA": ("nc", "nd", "noncommercial", "noderivatives"), "BY-ND": ("nc", "sa", "noncommercial", "sharealike"), "BY-NC": ("sa", "nd", "sharealike", "noderivatives"), "BY-NC-SA": ("nd", "noderivatives"), "BY-NC-ND": ("sa", "sharealike")}
+TELLING: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "Apache-2.0": (("apache", "2", "0"), ()),
+    "MIT": (("mit",), ()),
+    "GPL-2.0": (("general", "public", "2|1991"), ("lesser", "library", "affero")),
+    "GPL-3.0": (("general", "public", "3|2007"), ("lesser", "library", "affero")),
+    "LGPL-2.1": (("lesser", "general", "public", "2|1999", "1|1999"), ("affero",)),
+    "LGPL-3.0": (("lesser", "general", "public", "3|2007"), ("affero",)),
+    "AGPL-3.0": (("affero", "general", "public", "3|2007"), ("lesser",)),
+    "MPL-2.0": (("mozilla", "2", "0"), ()),
+    "BSD-2-Clause": (("bsd", "2", "clause", "binary"), ("endorse",)),
+    "BSD-3-Clause": (("bsd", "3", "clause", "endorse"), ("advertising",)),
+    **{f"CC-{kind}-4.0": (("cc", "by", "nc", "sa", "nd", "commons", "attribution", "noncommercial", "sharealike", "noderivatives", "4", "0"), other) for kind, other in _OTHER_CC.items()},
+}
 
 
 def _lcs(x: list, y: list) -> list[tuple[int, int]]:
@@ -180,15 +197,23 @@ def patience(x: list, y: list) -> list[tuple[int, int]]:
 
 
 class Template:
-    def __init__(self, text: str, coverage: float):
+    def __init__(self, license: str, text: str, coverage: float):
         self.words = Words(pa.array([text]), PUNCTUATION).hash
         self.list, self.vocabulary = self.words.tolist(), np.unique(self.words)
         self.m = len(self.words)
         self.need = max(1, math.ceil(coverage * self.m))
         self.distinct = max(1, len(self.vocabulary) - (self.m - self.need))
+        needs, without = TELLING.get(license, ((), ()))
+        hashes = lambda words: set(Words(pa.array([words]), PUNCTUATION).hash.tolist())
+        self.needs = [own for x in needs if (own := hashes(x) & set(self.list))]  # bars are punctuation
+        self.without = hashes(" ".join(without)) - set(self.list)
 
-    def matches(self, h: np.ndarray, places: np.ndarray) -> Iterator[tuple[float, int, int]]:
-        """(coverage, first word, end) in the words h of one text, of which those at places are in the vocabulary."""
+    def told(self, found: list[tuple[int, int]]) -> bool:
+        seen = {self.list[y] for _, y in found}
+        return all(seen & x for x in self.needs)
+
+    def matches(self, h: np.ndarray, places: np.ndarray) -> Iterator[tuple[list[int], int, int]]:
+        """(places of the matched words, first word, end) in the words h of one text, of which those at places are in the vocabulary."""
         span, k = 2 * self.m, self.need
         starts = places[: len(places) - k + 1][places[k - 1 :] - places[: len(places) - k + 1] < span]
         i = 0
@@ -197,20 +222,31 @@ class Template:
             window = h[s : s + span]
             if len(np.intersect1d(window, self.vocabulary)) >= self.distinct:
                 found = patience(window.tolist(), self.list)
-                if len(found) >= self.need:
-                    first, end = s + found[0][0], s + found[-1][0] + 1
-                    yield len(found) / self.m, first, end
+                first, end = (s + found[0][0], s + found[-1][0] + 1) if found else (s, s)
+                if len(found) >= self.need and self.told(found) and not self.without.intersection(h[first:end].tolist()):
+                    yield [s + x for x, _ in found], first, end
                     i = int(np.searchsorted(starts, end))
                     continue
             i += 1
 
 
+def _best(found: list[tuple[list[int], float, int, int, int]]) -> list[tuple[list[int], float, int, int, int]]:
+    """Of matches in one text (places, coverage, template, first, end): without those of which a better one has at least half of the matched words."""
+    kept, taken = [], []
+    for x in sorted(found, key=lambda x: (-len(x[0]), -x[1], x[2], x[3])):
+        own = set(x[0])
+        if all(2 * len(own & t) < len(own) for t in taken):
+            kept.append(x)
+            taken.append(own)
+    return kept
+
+
 def scan(df: DataFrame, coverage: float = COVERAGE, templates: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """doc_id, license, template, coverage, start_word, end_word, start_byte, end_byte (of the UTF-8 text): one row per match."""
     named = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [Template(t, coverage) for _, _, t in named]
+        made = [Template(license, t, coverage) for license, _, t in named]
         vocabulary = np.unique(np.concatenate([t.vocabulary for t in made]))
         table = np.zeros(1 << 16, bool)
         table[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
@@ -221,8 +257,8 @@ def scan(df: DataFrame, coverage: float = COVERAGE, templates: list[tuple[str, s
                 word = np.searchsorted(vocabulary, w.hash[maybe]).clip(max=len(vocabulary) - 1)
                 known = vocabulary[word] == w.hash[maybe]
                 maybe, word = maybe[known], word[known]
-                out = []
-                for t, (license, name, _) in zip(made, named, strict=True):
+                found: dict[int, list] = {}
+                for k, t in enumerate(made):
                     places = maybe[np.isin(vocabulary, t.vocabulary)[word]]
                     if len(places) < t.need:
                         continue
@@ -230,8 +266,12 @@ def scan(df: DataFrame, coverage: float = COVERAGE, templates: list[tuple[str, s
                     for d in np.unique(w.doc[a[(b - a < 2 * t.m) & (w.doc[a] == w.doc[b])]]).tolist():
                         lo, hi = int(w.first[d]), int(w.first[d + 1])
                         own = places[np.searchsorted(places, lo) : np.searchsorted(places, hi)] - lo
-                        for share, first, end in t.matches(w.hash[lo:hi], own):
-                            out.append((d, license, name, share, first, end, int(w.starts[lo + first] - w.offsets[d]), int(w.ends[lo + end - 1] - w.offsets[d])))
+                        for at, first, end in t.matches(w.hash[lo:hi], own):
+                            found.setdefault(d, []).append((at, len(at) / t.m, k, first, end))
+                out = []
+                for d, matches in found.items():
+                    lo = int(w.first[d])
+                    out += [(d, *named[k][:2], share, first, end, int(w.starts[lo + first] - w.offsets[d]), int(w.ends[lo + end - 1] - w.offsets[d])) for _, share, k, first, end in _best(matches)]
                 if out:
                     cols = list(zip(*sorted(out), strict=True))
                     kinds = [pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
