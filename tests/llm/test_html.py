@@ -117,3 +117,95 @@ def test_articles_in_dropped_elements_are_no_region():
     assert html.main_text("<p>body text</p><div class=related><article>teaser</article><main>no</main></div>") == "body text"
     assert html.main_text("<main><p>text</p><article><img src=x></article></main>") == "text"
     assert html.main_text("<p>text</p><main><article> </article></main>") == "text"
+
+
+STORY = " ".join(f"word{k}" for k in range(60))
+
+
+def sited(article):
+    """40 pages of one host whose menu, advert and footer change from page to page."""
+    rows = []
+    for i in range(40):
+        menu = "".join(f"<li><a href='/{i}-{k}'>label {i} {k}</a></li>" for k in range(2 + i % 4))
+        body = f"<h1>Title {i}</h1><p>{STORY} {i}</p>" + (f"<ul><li>point one of {i}</li><li>point two</li></ul>" if i % 2 else "") + f"<p>end {i}</p>"
+        wrap = f"<article>{body}</article>" if article else f"<div class='c7x{i}'>{body}</div>"
+        rows.append((i, f"http://a.example/{i}", f"<body><div class='bar'><ul>{menu}</ul></div><div class='zz'>buy number {i} today</div>{wrap}<div id='bottom'>made by {i}</div></body>", None, None))
+    want = {i: f"Title {i}\n{STORY} {i}\n" + (f"point one of {i}\npoint two\n" if i % 2 else "") + f"end {i}" for i in range(40)}
+    return rows, want
+
+
+def test_templates_decide_without_marks(spark):
+    for article in (True, False):
+        rows, want = sited(article)
+        df = spark.createDataFrame(rows, SCHEMA)
+        assert {r.page_id: r.text for r in html.extract(df, marks=False).collect()} == want
+        assert {r.page_id: r.text for r in html.extract(df).collect()} == want
+
+
+def test_template_counts_equal_brute_force(spark):
+    for article in (True, False):
+        rows = sited(article)[0] + [(100 + i, f"http://few.example/{i}", "<div><p>x</p></div>", None, None) for i in range(3)]
+        rows += [(200 + i, "http://a.example/copy", rows[0][2], None, None) for i in range(30)]
+        got = {r.host: (set(r.template), set(r.content)) for r in html.site_templates(spark.createDataFrame(rows, SCHEMA)).collect()}
+        pages = {h for _, u, h, _, _ in rows if "a.example" in u}  # copies count once
+        same, at = {}, {}
+        for h in pages:
+            root = html.tree(h)[0]
+            for x in set(html.subtrees(root).values()):
+                same[x] = same.get(x, 0) + 1
+            seen = html.places(root)
+            for p, (above, w, linked, own) in seen.items():
+                if p:
+                    m = at.setdefault(p, [above, 0, 0, 0, 0, 0])
+                    for k, v in enumerate((1, w, linked, own, seen[0][1]), 1):
+                        m[k] += v
+        often = lambda m: m >= html.LEAST_PAGES and m >= html.SHARE * len(pages)
+        most = {0} | {p for p, (_, m, w, _, _, total) in at.items() if often(m) and 2 * w > total}
+        little = {p for p, (above, m, w, linked, _, total) in at.items() if often(m) and above in most and (w <= html.LITTLE * total or 2 * w <= total and 2 * linked > w)}
+        content = {p for p, (_, m, w, _, own, total) in at.items() if often(m) and 2 * w > total and 2 * own >= w}
+        assert got == {"a.example": ({x for x, m in same.items() if often(m)} | little, content)}
+
+
+def test_all_pages_of_the_driver_have_templates(spark):
+    """On hosts of enough pages the templates alone give the text that the articles give."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    sizes = pages.groupBy(html.host().alias("host")).count().where(f"count >= {html.LEAST_PAGES}")
+    pages = pages.withColumn("host", html.host()).join(sizes, "host")
+    want = {r.page_id: plain(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in html.extract(pages, marks=False).collect()}
+    assert got == want and len(want) > 50
+
+
+def test_a_copied_article_keeps_its_text(spark):
+    rows = [(i, f"http://h.example/{i}", f"<body><div><article><p>{STORY} {i}</p></article></div></body>", None, None) for i in range(30)]
+    rows += [(100 + i, f"http://h.example/c{i}", f"<body><div><article><div><p>{STORY} copied</p></div></article></div><p>{i}</p></body>", None, None) for i in range(8)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[100 + i] == f"{STORY} copied" for i in range(8)) and got[7] == f"{STORY} 7"
+
+
+def test_teasers_are_no_main_text():
+    assert html.main_text(f"<article><p>teaser</p></article><article><p>two</p></article><div id='content'><p>{STORY}</p></div>") == f"teaser\ntwo\n{STORY}"
+    assert html.main_text(f"<article><h1>A</h1></article><main><p>{STORY}</p></main>") == f"{STORY}"
+    assert html.main_text("<article><p>short story</p></article><div>something else</div>") == "short story"
+
+
+def test_malformed_markup_takes_linear_time():
+    from time import perf_counter
+
+    began = perf_counter()
+    for x in ("<a " * 400_000, "</b>" * 300_000, "<b>" * 100_000 + "<p></p>" * 100_000, "<p><div>" + "<b>" * 50_000 + "<p>x</p>" * 50_000, '<a "' * 200_000, "<" * 300_000, "<!-- " * 100_000, "<script " * 100_000, "<a '\">" * 100_000):
+        html.main_text(x)
+    assert perf_counter() - began < 30
+    assert html.main_text("<a " * 5 + "x") == "<a " * 4 + "<a x" and html.main_text('<p class="a>one</p><p>two</p>') == "one\ntwo"
+
+
+def test_references_are_decoded_in_their_text():
+    assert html.main_text("<p>a&am<b>p;</b>lt; b &lt;&eacute;&#8217;</p>") == "a&amp;lt; b <é’"
+
+
+def test_query_gives_the_articles(spark):
+    from wearcurve.llm import queries
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = sorted((r.page_id, r.url, plain(r.html), len(plain(r.html))) for r in pages.collect())
+    assert sorted(tuple(r) for r in queries.op10_html_extraction(spark, "/root/testdata/sf0.01").select("page_id", "url", "text", "n_chars").collect()) == want
