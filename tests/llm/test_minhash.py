@@ -121,3 +121,96 @@ def test_kernel_words():
     again = kernels.Words(pa.array(["zz ab"], pa.string()))
     assert again.hash[1] == w.hash[0]
     assert [(i, j) for i, j in kernels.chunks(pa.array(["a" * 10, "b" * 10, "c" * 30, "d"]), 20)] == [(0, 2), (2, 3), (3, 4)]
+
+
+def test_ids_with_several_texts(spark, docs):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs([(6, a), (6, b), (3, b), (9, a), (7, a + " more"), (8, "alone"), (8, "quite alone")]), 4).collect())
+    assert got == [(3, 3, 3, True), (6, 3, 3, False), (6, 4, 3, False), (7, 5, 3, False), (8, 1, 8, True), (8, 1, 8, True), (9, 4, 3, False)]
+
+
+def test_edited_copies_of_one_original(spark, docs):
+    """The original comes last, and no two of its copies are similar."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for k in range(300):
+        w = list(base)
+        for j in rng.sample(range(200), 4):
+            w[j] = f"n{k}x{j}"
+        rows.append((k, " ".join(w)))
+    rows.append((1000, " ".join(base)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(rows), 4).collect()}
+    assert got == brute(rows, 4) and {c for _, c in got.values()} == {0}
+
+
+def test_buckets_of_documents_that_are_not_similar(spark, docs):
+    """Pairs just below the threshold share buckets, so the waves ask; groups among them are found."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for k in range(150):
+        if k % 3 and rows:
+            w = rows[-1][1].split(" ")
+            w[rng.randrange(100)] = f"m{k}"
+        else:
+            w = list(base)
+            for j in rng.sample(range(100), 5):
+                w[j] = f"n{k}x{j}"
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(rows), 4).collect()}
+    assert got == brute(rows, 4) and len({c for _, c in got.values()}) > 20
+
+
+def test_recall_by_similarity(spark, docs):
+    rng = random.Random(10)
+    rows, pairs = [], []
+    for k in range(400):
+        w = [f"v{rng.randrange(5000)}" for _ in range(150)]
+        e = list(w)
+        for j in rng.sample(range(150), rng.randrange(1, 5)):
+            e[j] = f"e{k}x{j}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(e))]
+    s = sets(rows, 4)
+    component = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows), 4).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.0)):
+        pairs = [k for k in range(400) if low <= len(s[2 * k] & s[2 * k + 1]) / len(s[2 * k] | s[2 * k + 1]) < high]
+        found = [component[2 * k] == component[2 * k + 1] for k in pairs]
+        assert len(pairs) > 20 and sum(found) >= 0.99 * len(found)
+
+
+def test_rows_dealt_for_one_hot_bucket(spark):
+    """20,000 members that are similar to none: the first waves deal each member once, the last one once for each block of askers."""
+    n, block = 20_000, minhash.BLOCK
+    rows = spark.range(n).selectExpr("7L AS key", "id", "0L AS rep", "if(id = 5, 9L, 1L) AS links", "id AS component").union(spark.createDataFrame([(8, k, 0, 1, 0) for k in range(50)], "key long, id long, rep long, links long, component long"))
+    blocks = -(-n // block)
+    for wave, most in enumerate(minhash.WAVES):
+        asked, more = minhash._asked(rows, wave, most)
+        askers = asked.where("asks").count()
+        sizes = [r.n for r in minhash.dealt(asked).groupBy("key", "part", "block").agg({"id": "count"}).toDF("key", "part", "block", "n").collect()]
+        if most is None:
+            assert not more and askers == n - 1 and sum(sizes) == n * blocks + askers * blocks
+        else:
+            assert more and 1 <= askers < 2 * most + 20 and sum(sizes) == n + askers * blocks
+        assert max(sizes) < 2.2 * block
+
+
+def test_hashes_of_words():
+    flip = str.maketrans("ab", "ba")
+    x = "a"
+    while len(x) < 1 << 12:
+        x += x.translate(flip)
+    w = kernels.Words(pa.array([f"{x} {x.translate(flip)} ab ba aab aba baa"], pa.string()))
+    assert len(set(w.hash.tolist())) == 7
+
+
+def test_long_texts_are_read_in_slices():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 9))) for _ in range(60_000)] + ["q" * (3 * kernels.CHUNK), "r"]
+    rng.shuffle(words)
+    text = "  ".join(words)
+    assert len(text.encode()) > 3 * kernels.CHUNK
+    w = kernels.Words(pa.array(["x y", text, None, text[:50], ""], pa.string()))
+    assert [w.text(k) for k in range(2, 2 + len(words))] == words
+    alone = kernels.Words(pa.array(words, pa.string()))
+    assert w.hash[2 : 2 + len(words)].tolist() == alone.hash.tolist() and w.doc[:3].tolist() == [0, 0, 1]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +15,6 @@ _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base^0..base^(n-1) modulo 2^64. Not kept: a module's variables travel with its functions."""
-    a = np.full(n, base, U64)
-    a[0] = 1
-    return np.cumprod(a, dtype=U64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of 64-bit values (splitmix64)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -59,41 +49,69 @@ PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 class Words:
-    """Words (maximal runs without space or 0x09 to 0x0D) of several texts, A-Z lower-cased unless lower is false."""
+    """Words (maximal runs without space or 0x09 to 0x0D) of several texts, A-Z lower-cased unless lower is false.
+
+    A word's hash sums a mixed 64-bit value of each of its bytes and their places, so it has no weak words as polynomials modulo 2^64 have. Texts are
+    read in slices, so beside the words (about 4 bytes for each byte of text) the memory is that of a slice.
+    """
 
     def __init__(self, texts: pa.Array, drop: np.ndarray | None = None, lower: bool = True):
         """drop: a table of 256 booleans, of bytes that separate words as well."""
         body, self.offsets = raw(texts)
-        self.n_docs, n = len(self.offsets) - 1, len(body)
+        self.n_docs = len(self.offsets) - 1
         sep = _SEP if drop is None else _SEP | drop
         self.body = body = _LOWER[body] if lower else body
-        if not n:
-            self.starts = self.ends = self.doc = np.zeros(0, np.int64)
-            self.hash = np.zeros(0, U64)
-            self.first = np.zeros(self.n_docs + 1, np.int64)
-            return
-        solid = ~sep[body]
-        before = np.empty(n, bool)
-        before[0] = False
-        before[1:] = solid[:-1]
-        inner = self.offsets[(self.offsets > 0) & (self.offsets < n)]
-        before[inner] = False
-        after = np.empty(n, bool)
-        after[-1] = False
-        after[:-1] = solid[1:]
-        after[inner - 1] = False
-        self.starts, self.ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-        up, down = _powers(_P, n + 1), _powers(_P_INV, n + 1)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum((body.astype(U64) + U64(1)) * up[:n], out=sums[1:])
-        self.hash = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        inner = self.offsets[(self.offsets > 0) & (self.offsets < len(body))]
+        parts = [_slice(body, p, q, sep, inner) for p, q in _slices(body, sep, self.offsets)]
+        kind = np.int32 if len(body) < 1 << 31 else np.int64
+        self.starts, self.ends, self.hash = (np.concatenate([np.zeros(0, t), *[x[k] for x in parts]]).astype(t, copy=False) for k, t in enumerate((kind, kind, U64)))
         self.first = np.searchsorted(self.starts, self.offsets)  # of each text, its first word
-        self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))
+
+    @cached_property
+    def doc(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(self.n_docs), np.diff(self.first))
 
     def text(self, k: int) -> str:
         return self.body[self.starts[k] : self.ends[k]].tobytes().decode("utf-8", "replace")
 
 
+def _slices(body: np.ndarray, sep: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about CHUNK bytes that end before a separator or with a text."""
+    at, n = 0, len(body)
+    while at < n:
+        stop, look = min(at + CHUNK, n), 1 << 12
+        edge = int(offsets[np.searchsorted(offsets, stop)])
+        while stop < edge:
+            cut = np.flatnonzero(sep[body[stop : min(stop + look, edge)]])
+            if len(cut):
+                stop += int(cut[0])
+                break
+            stop, look = min(stop + look, edge), 2 * look
+        yield at, stop
+        at = stop
+
+
+def _slice(body: np.ndarray, p: int, q: int, sep: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words in body[p:q], which begins and ends at edges of words."""
+    part, n = body[p:q], q - p
+    solid = ~sep[part]
+    cuts = inner[np.searchsorted(inner, p, "right") : np.searchsorted(inner, q)] - p  # texts that begin inside
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    before[1:], after[:-1] = solid[:-1], solid[1:]
+    before[cuts], after[cuts - 1] = False, False
+    starts, ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+    begin = np.zeros(n, np.int64)
+    begin[starts] = starts
+    np.maximum.accumulate(begin, out=begin)
+    value = (np.arange(n) - begin).astype(U64)
+    value <<= U64(8)
+    value |= part
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(mix(value * U64(0x9E3779B97F4A7C15) + U64(0xD1B54A32D192ED03)), out=sums[1:])
+    return starts + p, ends + p, mix(sums[ends] - sums[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 _STEP = [U64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 

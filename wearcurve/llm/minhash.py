@@ -5,14 +5,16 @@ candidates; the odd sketch (a parity bitmap of the MinHash samples, compared by
 drops those far from the threshold; the sets of the others are compared in full. Components come from the
 confirmed links.
 
-No bucket is expanded into its pairs. First every member is compared with the bucket's smallest. After that only
-a bucket that still holds several components matters: its members outside the first one's component are a
-query set against the whole bucket, in blocks, and every pair of different components that an odd sketch of the whole set (whose error is a
-tenth of the sampled one's) can't rule out is confirmed. Every pair of a bucket is then confirmed, ruled out, or joined by other links, so one such pass is enough.
+No bucket is expanded into its pairs. First every member is compared with the bucket's rep: the member that shares most band keys with others, as the
+original of a group of edited copies does. After that only buckets that still hold several components matter. In waves, members outside the rep's
+component ask: they are held against the whole bucket by sizes and sketches (that of the samples and one of the whole set), and what those can't rule out is
+confirmed. The first waves take a few outsiders a bucket, whatever its size, so each member is dealt once and the work is linear; components grow with each
+wave, and outsiders that joined ask no more. The last wave takes those that are left: their comparisons are quadratic in their number, in groups of
+at most BLOCK members and BLOCK askers, each a task's unit. Every pair of a bucket is so confirmed, ruled out, or joined by other links.
 
 Defined results: null or empty texts, and texts of separators only, have the empty set and link with nothing; a
-null doc_id links with nothing, has no component and is kept; rows with the same doc_id count as one document;
-equal rows share a class; other columns are not read.
+null doc_id links with nothing, has no component and is kept; rows with the same doc_id are one document,
+linked with all that any of its texts is linked with (each row tells the set of its own text); equal rows share a class; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ LEAST_ESTIMATE = 0.6
 #: Longs of the odd sketch of a whole set, and the standard deviations allowed to it.
 FINE64, SIGMAS = 32, 5
 BLOCK = 4096
+#: Members outside the home component of a bucket that ask in each wave (about so many of a bucket; in the last, all).
+WAVES = (16, 256, None)
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _B = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.int64).astype(U64)
@@ -149,35 +153,66 @@ def components(edges: DataFrame) -> DataFrame:
             return d.select(F.col("a").alias("id"), F.col("b").alias("component")).union(d.select(F.col("b"), F.col("b")).distinct())
 
 
-def _proposals(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a < b: of every bucket with several components, pairs of a member outside the first one's component and those members of other components that it may be similar to."""
-    buckets = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("id").alias("first"), F.min_by("component", "id").alias("home")).where("m > 2 AND c0 <> c1")
-    buckets, _ = small(stored(buckets.select("key", "m", "first", "home"), "mixed"))
-    d = rows.join(buckets, "key").where("id <> first")  # the first was compared with all
-    d = d.withColumn("asks", F.col("component") != F.col("home")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    d = d.withColumn("block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))))
-    d = d.join(sets.select("id", "fine", F.size("shingles").cast("long").alias("n")), "id").select("key", "block", "id", "component", "asks", "n", "fine").repartition("key", "block").sortWithinPartitions("key", "block")
-
-    def group(t: pa.Table) -> np.ndarray:
+def _asked(rows: DataFrame, wave: int, most: int | None) -> tuple[DataFrame | None, bool]:
+    """rows (key, id, rep, links, component) of the buckets that hold several components, with m (members), outs (those outside the component of the
+    bucket's rep) and asks: whether the member is held against the whole bucket in this wave. None without such buckets. Also whether some outsiders don't ask."""
+    home = F.max(F.when(F.col("id") == F.col("rep"), F.col("component"))).alias("home")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), home).where("m > 2 AND c0 <> c1")
+    buckets, n = small(stored(buckets.select("key", "m", "home"), "mixed"))
+    if not n:
+        return None, False
+    mixed = stored(rows.join(buckets, "key"), "members")
+    out = F.col("component") != F.col("home")
+    outside = mixed.where(out).groupBy("key").agg(F.count("*").alias("outs"), F.max_by("id", F.struct("links", -F.col("id"))).alias("top"))
+    d = mixed.join(small(stored(outside, "outside"))[0], "key")
+    if most is None:
+        return d.withColumn("asks", out), False
+    picked = (F.col("id") == F.col("top")) | (F.pmod(F.xxhash64("id", F.lit(wave)), F.col("outs")) < most)
+    return d.withColumn("asks", out & picked), not d.where(F.col("outs") > most).isEmpty()
+
+
+def dealt(asked: DataFrame, block: int = BLOCK) -> DataFrame:
+    """asked, dealt to groups (key, part, block): every member to its block, every asker to its part, for all parts and blocks of the bucket. Askers are fewer than
+    a block in all waves but the last, so a member is dealt once, and an asker once a block."""
+    count = lambda n: F.ceil(F.col(n) / block).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), count(n).cast("long")).cast("int")
+    asking = asked.groupBy("key").agg(F.sum(F.col("asks").cast("long")).alias("askers")).where("askers > 0")
+    d = asked.join(small(stored(asking, "asking"))[0], "key")
+    members = d.withColumn("block", own("m")).withColumn("part", every("askers")).withColumn("asks", F.lit(False))
+    askers = d.where("asks").withColumn("part", own("askers")).withColumn("block", every("m"))
+    names = ["key", "part", "block", "id", "component", "asks"]
+    return members.select(*names).union(askers.select(*names))
+
+
+def _proposals(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a < b: pairs of an asker and those members of other components of its bucket that it may be similar to, by sizes and both sketches."""
+    least = most_differing(LEAST_ESTIMATE)
+    d = dealt(asked).join(sets.select("id", "fine", "sketch", "n"), "id").repartition("key", "part", "block").sortWithinPartitions("key", "part", "block")
+
+    def group(t: pa.Table) -> Iterator[np.ndarray]:
         ids, comp, asks, n = (t.column(c).to_numpy() for c in ("id", "component", "asks", "n"))
-        fine = t.column("fine").combine_chunks().flatten().to_numpy().view(U64).reshape(-1, FINE64)
-        out = []
+        fine, coarse = (t.column(c).combine_chunks().flatten().to_numpy().view(U64).reshape(t.num_rows, -1) for c in ("fine", "sketch"))
+        members = np.flatnonzero(~asks.astype(bool))
+        members = members[np.argsort(n[members], kind="stable")]
+        ids_m, comp_m, n_m, fine_m, coarse_m = ids[members], comp[members], n[members], fine[members], coarse[members]
         for u in np.flatnonzero(asks.astype(bool)):
-            bits = np.bitwise_count(fine ^ fine[u]).sum(axis=1)
-            near = np.flatnonzero((comp != comp[u]) & may_reach(bits, n + n[u], percent))
-            if len(near):
-                out.append(np.stack([np.minimum(ids[near], ids[u]), np.maximum(ids[near], ids[u])], 1))
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+            a, b = np.searchsorted(n_m, -(-n[u] * percent // 100)), np.searchsorted(n_m, n[u] * 100 // percent, "right")
+            k = a + np.flatnonzero(comp_m[a:b] != comp[u])
+            k = k[np.bitwise_count(coarse_m[k] ^ coarse[u]).sum(axis=1) <= least]
+            k = k[may_reach(np.bitwise_count(fine_m[k] ^ fine[u]).sum(axis=1), n_m[k] + n[u], percent)]
+            if len(k):
+                yield np.stack([np.minimum(ids_m[k], ids[u]), np.maximum(ids_m[k], ids[u])], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def cut(t: pa.Table, last: bool):
-            key, block = t.column("key").to_numpy(), t.column("block").to_numpy()
-            edges = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+            places = [t.column(c).to_numpy() for c in ("key", "part", "block")]
+            edges = np.flatnonzero(np.any([x[1:] != x[:-1] for x in places], axis=0)) + 1
             edges = [0, *edges.tolist(), *([t.num_rows] if last else [])]
             for a, b in zip(edges, edges[1:], strict=False):
-                if b - a > 1 and len(pairs := group(t.slice(a, b - a))):
+                for pairs in group(t.slice(a, b - a)):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
             return t.slice(edges[-1]) if not last else None
 
@@ -191,6 +226,12 @@ def _proposals(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return d.mapInArrow(run, "a long, b long").distinct()
 
 
+def _same_id(several: DataFrame, linked: DataFrame, heads: DataFrame) -> DataFrame:
+    """a, b: links between the classes of ids that have several."""
+    d = linked.join(several, "doc_id", "left_semi").join(heads.select("n_shingles", "lo", "hi", "id"), ["n_shingles", "lo", "hi"]).select("doc_id", "id").distinct()
+    return d.join(d.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").where("id <> b").select(F.col("id").alias("a"), "b")
+
+
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of df (doc_id, text)."""
     df = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -198,23 +239,39 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     linked = seen.where("n_shingles > 0 AND doc_id IS NOT NULL")
     heads = stored(linked.groupBy("n_shingles", "lo", "hi").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "heads")
     rows = heads.select("id", F.explode("keys").alias("key"))
-    first = rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("m")).where("m > 1")
-    shared = stored(rows.join(first, "key"), "buckets")
+    shared = stored(rows.join(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "shared")
+    shared = shared.join(shared.groupBy("id").agg(F.sum("m").alias("links")), "id")
+    shared = stored(shared, "ranked")
+    reps = shared.groupBy("key").agg(F.max_by("id", F.struct("links", -F.col("id"))).alias("rep"))
+    shared = stored(shared.join(reps, "key"), "buckets")
     sketches = heads.select("id", "sketch")
-    pairs = shared.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = shared.where("id <> rep").select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b")).distinct()
     near = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch")).alias("x"), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch")).alias("y"), "b")
-    pairs = stored(near.where(_differing("x", "y") <= most_differing(LEAST_ESTIMATE)).select("a", "b"), "pairs")
-    wide = shared.where("m > 2").select("key", "id")
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(wide.select("id")).distinct(), "ids")
-    sets = stored(full_sets(df, ids, shingle), "sets")
-    edges = stored(confirmed(pairs, sets, percent), "links")
-    labels = stored(components(edges), "labels")
-    at = wide.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    more = stored(_proposals(at, sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = stored(confirmed(more, sets, percent), "links")
-        if not links.isEmpty():
+    tested = stored(near.where(_differing("x", "y") <= most_differing(LEAST_ESTIMATE)).select("a", "b"), "pairs")
+    wide = shared.where("m > 2").select("key", "id", "rep", "links")
+    ids = stored(tested.select(F.explode(F.array("a", "b")).alias("id")).union(wide.select("id")).distinct(), "ids")
+    each = F.struct("n_shingles", "lo", "hi")
+    repeated = stored(linked.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(each).alias("x"), F.max(each).alias("y")).where("n > 1").select("doc_id", (F.col("x") != F.col("y")).alias("differ")), "repeated")
+    again = not repeated.isEmpty()
+    sets = stored(full_sets(df.dropDuplicates(["doc_id", "text"]) if again else df, ids, shingle), "sets")
+    edges = confirmed(tested, sets, percent)
+    if again:
+        edges = edges.union(_same_id(repeated.where("differ"), linked, heads))
+    labels = stored(components(stored(edges, "links")), "labels")
+    drawn = sets.select("id", "fine", F.size("shingles").cast("long").alias("n")).join(sketches, "id")
+    more = True
+    for wave, most in enumerate(WAVES):
+        if not more:
+            break
+        at = wide.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        asked, more = _asked(at, wave, most)
+        if asked is None:
+            break
+        pairs = stored(_proposals(asked, drawn, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = None if pairs.isEmpty() else stored(confirmed(pairs, sets, percent), "links")
+        if links is not None and not links.isEmpty():
             labels = stored(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "labels")
+        tested = tested.union(pairs)
     named = stored(heads.select("n_shingles", "lo", "hi", "id").join(labels, "id", "left").select("n_shingles", "lo", "hi", F.coalesce("component", "id").alias("component")), "named")
     d = seen.select("doc_id", "n_shingles", "lo", "hi").join(named, ["n_shingles", "lo", "hi"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
