@@ -184,14 +184,14 @@ def test_rows_dealt_for_one_hot_bucket(spark):
     n, block = 20_000, minhash.BLOCK
     rows = spark.range(n).selectExpr("7L AS key", "id", "0L AS rep", "if(id = 5, 9L, 1L) AS links", "id AS component").union(spark.createDataFrame([(8, k, 0, 1, 0) for k in range(50)], "key long, id long, rep long, links long, component long"))
     blocks = -(-n // block)
-    for wave, most in enumerate(minhash.WAVES):
-        asked, more = minhash._asked(rows, wave, most)
-        askers = asked.where("asks").count()
-        sizes = [r.n for r in minhash.dealt(asked).groupBy("key", "part", "block").agg({"id": "count"}).toDF("key", "part", "block", "n").collect()]
-        if most is None:
-            assert not more and askers == n - 1 and sum(sizes) == n * blocks + askers * blocks
+    for wave, reps in enumerate(minhash.WAVES):
+        roles, more = minhash._roles(rows, wave, reps)
+        held = roles.where("held").count()
+        sizes = [r.n for r in minhash.dealt(roles).groupBy("key", "part", "block").agg({"id": "count"}).toDF("key", "part", "block", "n").collect()]
+        if reps is None:
+            assert not more and held == n and sum(sizes) == (n - 1) * blocks + held * blocks
         else:
-            assert more and 1 <= askers < 2 * most + 20 and sum(sizes) == n + askers * blocks
+            assert more and 1 <= held < 2 * reps + 20 and sum(sizes) == n - 1 + held * blocks
         assert max(sizes) < 2.2 * block
 
 

@@ -7,10 +7,11 @@ confirmed links.
 
 No bucket is expanded into its pairs. First every member is compared with the bucket's rep: the member that shares most band keys with others, as the
 original of a group of edited copies does. After that only buckets that still hold several components matter. In waves, members outside the rep's
-component ask: they are held against the whole bucket by sizes and sketches (that of the samples and one of the whole set), and what those can't rule out is
-confirmed. The first waves take a few outsiders a bucket, whatever its size, so each member is dealt once and the work is linear; components grow with each
-wave, and outsiders that joined ask no more. The last wave takes those that are left: their comparisons are quadratic in their number, in groups of
-at most BLOCK members and BLOCK askers, each a task's unit. Every pair of a bucket is so confirmed, ruled out, or joined by other links.
+component (outsiders) are held against others by sizes and sketches (that of the samples and one of the whole set), and what those can't rule out is
+confirmed. First they are held against a few members of either kind, whatever the bucket's size, and confirm the closest of each, so
+each is dealt once and work and output are linear; components grow with each wave, and outsiders that joined seek no more. The last wave holds those that are left
+against all: its comparisons are quadratic in their number, in groups of at most BLOCK and BLOCK, each a task's unit. A wave that holds a
+bucket's members all is the last. Every pair of a bucket is so confirmed, ruled out, or joined by other links.
 
 Defined results: null or empty texts, and texts of separators only, have the empty set and link with nothing; a
 null doc_id links with nothing, has no component and is kept; rows with the same doc_id are one document,
@@ -37,8 +38,8 @@ LEAST_ESTIMATE = 0.6
 #: Longs of the odd sketch of a whole set, and the standard deviations allowed to it.
 FINE64, SIGMAS = 32, 5
 BLOCK = 4096
-#: Members outside the home component of a bucket that ask in each wave (about so many of a bucket; in the last, all).
-WAVES = (16, 256, None)
+#: Members of a bucket that its outsiders are held against in each wave (about so many of those in the home component, and of the others; in the last, all).
+WAVES = (64, None)
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _B = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.int64).astype(U64)
@@ -153,42 +154,42 @@ def components(edges: DataFrame) -> DataFrame:
             return d.select(F.col("a").alias("id"), F.col("b").alias("component")).union(d.select(F.col("b"), F.col("b")).distinct())
 
 
-def _asked(rows: DataFrame, wave: int, most: int | None) -> tuple[DataFrame | None, bool]:
-    """rows (key, id, rep, links, component) of the buckets that hold several components, with m (members), outs (those outside the component of the
-    bucket's rep) and asks: whether the member is held against the whole bucket in this wave. None without such buckets. Also whether some outsiders don't ask."""
+def _roles(rows: DataFrame, wave: int, reps: int | None) -> tuple[DataFrame | None, bool]:
+    """rows (key, id, rep, links, component) of the buckets that hold several components, with m (members), outs (those outside the component of the bucket's rep),
+    seeks (an outsider) and held (what the outsiders are held against: about `reps` members of either kind and the outsider of most links, or all).
+    None without such buckets. Also whether some members were not held."""
     home = F.max(F.when(F.col("id") == F.col("rep"), F.col("component"))).alias("home")
     buckets = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), home).where("m > 2 AND c0 <> c1")
     buckets, n = small(stored(buckets.select("key", "m", "home"), "mixed"))
     if not n:
         return None, False
-    mixed = stored(rows.join(buckets, "key"), "members")
-    out = F.col("component") != F.col("home")
-    outside = mixed.where(out).groupBy("key").agg(F.count("*").alias("outs"), F.max_by("id", F.struct("links", -F.col("id"))).alias("top"))
+    mixed = stored(rows.join(buckets, "key").withColumn("seeks", F.col("component") != F.col("home")).drop("home"), "members")
+    outside = mixed.where("seeks").groupBy("key").agg(F.count("*").alias("outs"), F.max_by("id", F.struct("links", -F.col("id"))).alias("top"))
     d = mixed.join(small(stored(outside, "outside"))[0], "key")
-    if most is None:
-        return d.withColumn("asks", out), False
-    picked = (F.col("id") == F.col("top")) | (F.pmod(F.xxhash64("id", F.lit(wave)), F.col("outs")) < most)
-    return d.withColumn("asks", out & picked), not d.where(F.col("outs") > most).isEmpty()
+    if reps is None:
+        return d.withColumn("held", F.lit(True)), False
+    kind = F.when(F.col("seeks"), F.col("outs")).otherwise(F.col("m") - F.col("outs"))
+    d = d.withColumn("held", (F.col("id") == F.col("top")) | (F.pmod(F.xxhash64("id", F.lit(wave)), kind) < reps))
+    return d.where("seeks OR held"), not d.where("NOT held").isEmpty()
 
 
-def dealt(asked: DataFrame, block: int = BLOCK) -> DataFrame:
-    """asked, dealt to groups (key, part, block): every member to its block, every asker to its part, for all parts and blocks of the bucket. Askers are fewer than
-    a block in all waves but the last, so a member is dealt once, and an asker once a block."""
+def dealt(roles: DataFrame, block: int = BLOCK) -> DataFrame:
+    """roles, dealt to groups (key, part, block): those who seek to their part for every block, those held to their block for every part. In the first waves
+    those held are fewer than a block, so everyone who seeks is dealt once."""
     count = lambda n: F.ceil(F.col(n) / block).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), count(n).cast("long")).cast("int")
-    asking = asked.groupBy("key").agg(F.sum(F.col("asks").cast("long")).alias("askers")).where("askers > 0")
-    d = asked.join(small(stored(asking, "asking"))[0], "key")
-    members = d.withColumn("block", own("m")).withColumn("part", every("askers")).withColumn("asks", F.lit(False))
-    askers = d.where("asks").withColumn("part", own("askers")).withColumn("block", every("m"))
-    names = ["key", "part", "block", "id", "component", "asks"]
-    return members.select(*names).union(askers.select(*names))
+    sizes = roles.groupBy("key").agg(F.sum(F.col("seeks").cast("long")).alias("seeking"), F.sum(F.col("held").cast("long")).alias("holding")).where("seeking > 0 AND holding > 0")
+    d = roles.join(small(stored(sizes, "sizes"))[0], "key")
+    names = ["key", "part", "block", "id", "component"]
+    seeking = d.where("seeks").withColumn("part", own("seeking")).withColumn("block", every("holding")).select(*names, F.lit(True).alias("asks"))
+    return seeking.union(d.where("held").withColumn("block", own("holding")).withColumn("part", every("seeking")).select(*names, F.lit(False)))
 
 
-def _proposals(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a < b: pairs of an asker and those members of other components of its bucket that it may be similar to, by sizes and both sketches."""
+def _proposals(roles: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
+    """a < b: pairs of one who seeks and a member of another component that is held, of those that sizes and both sketches can't rule out: for each the closest, or every one."""
     least = most_differing(LEAST_ESTIMATE)
-    d = dealt(asked).join(sets.select("id", "fine", "sketch", "n"), "id").repartition("key", "part", "block").sortWithinPartitions("key", "part", "block")
+    d = dealt(roles).join(sets.select("id", "fine", "sketch", "n"), "id").repartition("key", "part", "block").sortWithinPartitions("key", "part", "block")
 
     def group(t: pa.Table) -> Iterator[np.ndarray]:
         ids, comp, asks, n = (t.column(c).to_numpy() for c in ("id", "component", "asks", "n"))
@@ -200,7 +201,11 @@ def _proposals(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             a, b = np.searchsorted(n_m, -(-n[u] * percent // 100)), np.searchsorted(n_m, n[u] * 100 // percent, "right")
             k = a + np.flatnonzero(comp_m[a:b] != comp[u])
             k = k[np.bitwise_count(coarse_m[k] ^ coarse[u]).sum(axis=1) <= least]
-            k = k[may_reach(np.bitwise_count(fine_m[k] ^ fine[u]).sum(axis=1), n_m[k] + n[u], percent)]
+            differing = np.bitwise_count(fine_m[k] ^ fine[u]).sum(axis=1)
+            good = may_reach(differing, n_m[k] + n[u], percent)
+            k, differing = k[good], differing[good]
+            if len(k) and not every:
+                k = k[[int(np.lexsort((ids_m[k], differing / (n_m[k] + n[u])))[0])]]
             if len(k):
                 yield np.stack([np.minimum(ids_m[k], ids[u]), np.maximum(ids_m[k], ids[u])], 1)
 
@@ -211,9 +216,10 @@ def _proposals(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             places = [t.column(c).to_numpy() for c in ("key", "part", "block")]
             edges = np.flatnonzero(np.any([x[1:] != x[:-1] for x in places], axis=0)) + 1
             edges = [0, *edges.tolist(), *([t.num_rows] if last else [])]
-            for a, b in zip(edges, edges[1:], strict=False):
-                for pairs in group(t.slice(a, b - a)):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            found = [pairs for a, b in zip(edges, edges[1:], strict=False) for pairs in group(t.slice(a, b - a))]
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
             return t.slice(edges[-1]) if not last else None
 
         for batch in batches:
@@ -260,14 +266,14 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     labels = stored(components(stored(edges, "links")), "labels")
     drawn = sets.select("id", "fine", F.size("shingles").cast("long").alias("n")).join(sketches, "id")
     more = True
-    for wave, most in enumerate(WAVES):
+    for wave, reps in enumerate(WAVES):
         if not more:
             break
         at = wide.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        asked, more = _asked(at, wave, most)
-        if asked is None:
+        roles, more = _roles(at, wave, reps)
+        if roles is None:
             break
-        pairs = stored(_proposals(asked, drawn, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = stored(_proposals(roles, drawn, percent, not more).join(tested, ["a", "b"], "left_anti"), "pairs")
         links = None if pairs.isEmpty() else stored(confirmed(pairs, sets, percent), "links")
         if links is not None and not links.isEmpty():
             labels = stored(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "labels")
