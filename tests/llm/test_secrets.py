@@ -63,3 +63,27 @@ def test_odd_rows_and_empty(spark, docs):
     assert secrets.digest(secrets.find_parts(docs([]))).count() == 0
     plan = secrets.find_parts(docs([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_redaction_of_overlapping_and_many_spans(spark, docs):
+    texts = ["".join(f"é😀 token=abcdefg{i:04d} " for i in range(700)) + "tail", "token=" + "0123456789abcdef" * 3 + " AKIA" + "A1B2" * 6 + "secret=abcdefgh;password:zzzzzz", "aB3" * 12 + " user=bob pwd=abcd1234"]
+    found = {r.doc_id: [tuple(x) for x in r.parts] for r in secrets.find_parts(docs(list(enumerate(texts)))).select("doc_id", "parts").collect()}
+    got = {r.doc_id: r.text for r in secrets.redact(docs(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        out, at = "", 0
+        for s, _, e, kind, *_ in found[i]:
+            if s >= at:
+                out += t[at:s] + f"<{kind}>"
+            at = max(at, e)
+        assert got[i] == out + t[at:]
+
+
+def test_very_many_matches_in_one_text(spark, docs):
+    from time import perf_counter
+
+    n = 60_000
+    text = " ".join(f"token=abcdefgh{i}" for i in range(n))
+    began = perf_counter()
+    row = secrets.digest(secrets.find_parts(docs([(1, text)]))).first()
+    assert row.n_assign == n and row.spans.count(",") == n - 1 and len(secrets.redact(docs([(1, text)])).first().text) == n * 8 + n - 1
+    assert perf_counter() - began < 120

@@ -2,16 +2,20 @@
 
 Strong parts are reported as they are. Weak parts (names of accounts, short assignments, opaque
 strings, endpoints) are reported only where complementary parts lie in the same scope: an
-interval join of the parts of one text, |start - start| <= SCOPE code points. Each part is compared with those
+interval join of the parts of one text, |start - start| <= SCOPE code points. A text is held against a pattern only if it has the characters
+that every match needs (GATES). Each part is compared with those
 beside it in the order of starts, as many as its scope can hold (parts of one kind
 don't overlap and have MIN_PART characters at least), so the join is exact and linear in the number of parts.
 
 Defined results: a null text counts as empty and has no spans; null doc_ids and repeated rows are
-kept; other columns are not read. Positions are code points, end exclusive.
+kept; other columns are not read. Positions are code points, end exclusive. Work grows with the length of a text and the number of its
+matches; running sums are taken in runs of RUN, so no array is copied for each match.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,30 +35,56 @@ NEAR = len(KINDS) * (SCOPE // MIN_PART + 1)
 PART = "array<struct<s:bigint,rank:int,e:bigint,kind:string,role:string,strong:boolean>>"
 
 
-def _lit(pattern: str) -> Column:
-    return F.lit(pattern)
+#: What a text with a match of the kind must hold.
+GATES: dict[str, Callable[[Column], Column]] = {
+    **dict.fromkeys(("assign", "ident", "weak_assign"), lambda t: F.contains(t, F.lit("=")) | F.contains(t, F.lit(":"))),
+    "access": lambda t: F.contains(t, F.lit("AKIA")),
+    "blob": lambda t: t.rlike("[0-9]"),
+    "endpoint": lambda t: F.contains(t, F.lit("://")),
+}
+RUN = 256
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(n: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((n - 1) / RUN).cast("int"))
+
+
+def _running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """The running result of add (from 0) over an array of longs: the results of runs first, then those within each run."""
+    inside = lambda v, b: F.sequence(b * RUN, F.least(F.size(v), b * RUN + RUN) - 1)
+    more = lambda a, x: F.concat(a, F.array(add(F.get(a, F.size(a) - 1), x)))
+
+    def over(v: Column) -> Column:
+        runs = F.transform(_blocks(F.size(v)), lambda b: F.aggregate(inside(v, b), F.lit(0).cast("long"), lambda a, j: add(a, F.get(v, j))))
+        before = F.aggregate(runs, F.array(F.lit(0).cast("long")), more)
+        each = lambda o, b: F.slice(F.aggregate(inside(v, b), F.array(F.get(o, b)), lambda a, j: more(a, F.get(v, j))), 2, RUN)
+        return F.when(F.size(v) == 0, F.array().cast("array<bigint>")).otherwise(_once(before, lambda o: F.flatten(F.transform(_blocks(F.size(v)), lambda b: each(o, b)))))
+
+    return _once(values, over)
 
 
 def _parts(text: str, k: int) -> Column:
     """Spans of one kind: the text between the matches and the matches alternate, so running sums of their lengths are the positions."""
     kind, pattern, group, least, role, strong = KINDS[k]
-    whole = F.regexp_extract_all(text, _lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, _lit(pattern), F.lit(group))
-    more = {"blob": "AND m.v rlike '[0-9]' AND m.v rlike '[a-z]' AND m.v rlike '[A-Z]'"}.get(kind, "")
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("g"), whole.alias("w"), value.alias("v"))
-    lengths = F.transform(pieces, lambda x: F.struct(F.length(x["g"]).cast("long").alias("g"), F.length(x["w"]).cast("long").alias("w"), x["v"].alias("v")))
-    walked = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint,v:string>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + F.coalesce(x["w"], F.lit(0))).alias("at"),
-            F.when(x["w"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + x["w"]).alias("e"), x["v"].alias("v"))))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    good = F.filter(walked, lambda m: (F.length(m["v"]) >= least) & ((m["v"].rlike("[0-9]") & m["v"].rlike("[a-z]") & m["v"].rlike("[A-Z]")) if more else F.lit(True)))
-    made = F.transform(good, lambda m: F.struct(m["s"].alias("s"), F.lit(k).alias("rank"), m["e"].alias("e"), F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.lit(strong).alias("strong")))
-    return F.when(F.col(text).rlike(pattern), made).otherwise(F.array().cast(PART))
+    lengths = lambda a: F.transform(a, lambda x: F.length(x).cast("long"))
+    width = lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    gaps = lengths(F.split(text, pattern, -1))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+    def placed(w: Column) -> Column:
+        ends = _running(F.zip_with(F.slice(gaps, 1, F.size(w)), w, lambda g, x: g + x), lambda a, x: a + x)
+        return F.arrays_zip(ends.alias("e"), w.alias("w"), value.alias("v"))
+
+    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]") if kind == "blob" else F.lit(True)
+    good = F.filter(_once(width, placed), lambda m: (F.length(m["v"]) >= least) & mixed(m["v"]))
+    made = F.transform(good, lambda m: F.struct((m["e"] - m["w"]).alias("s"), F.lit(k).alias("rank"), m["e"].alias("e"), F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.lit(strong).alias("strong")))
+    gate = GATES[kind](F.col(text)) & F.col(text).rlike(pattern) if kind in GATES else F.col(text).rlike(pattern)
+    return F.when(gate, made).otherwise(F.array().cast(PART))
 
 
 def find_parts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -75,15 +105,25 @@ def find_parts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """df with every reported span of its text replaced by <kind>; overlapping spans become one, named by the first. Null texts stay null."""
     found = find_parts(df.select(F.struct("*").alias("_row"), F.col(text).alias("text")), "text", ("_row",))
-    cut = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, p: F.when(
-            p["s"] >= a["at"],
-            F.struct(p["e"].alias("at"), F.concat(a["out"], F.array(F.col("_text").substr((a["at"] + 1).cast("int"), (p["s"] - a["at"]).cast("int")), F.concat(F.lit("<"), p["kind"], F.lit(">")))).alias("out")),
-        ).otherwise(F.struct(F.greatest(a["at"], p["e"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.col("_text").substr((a["at"] + 1).cast("int"), F.length("_text"))),
-    )
+    reach = _running(F.transform("parts", lambda p: p["e"]), F.greatest)  # how far the spans reach
+    spans = F.transform(F.arrays_zip(F.col("parts").alias("p"), reach.alias("r")), lambda x: F.struct(x["p"]["s"].alias("s"), x["p"]["kind"].alias("kind"), x["r"].alias("r")))
+    behind = lambda a, i: F.when(i > 0, F.get(a, i - 1)["r"]).otherwise(F.lit(0).cast("long"))
+    # the first span of each run of overlapping ones, with the end of what is before it
+    heads = _once(spans, lambda a: F.filter(F.transform(a, lambda x, i: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), behind(a, i).alias("b"))), lambda x: x["s"] >= x["b"]))
+    part = lambda t, start, end: F.substr(t, (start + 1).cast("int"), (end - start).cast("int"))
+
+    def block(h: Column, b: Column) -> Column:
+        """The text of RUN heads, read from one cut of the whole text, since a cut walks the text from its start."""
+
+        def pieces(some: Column) -> Column:
+            low = F.get(some, F.lit(0))["b"]
+            cut = part(F.col("_text"), low, F.get(some, F.size(some) - 1)["s"])
+            return _once(cut, lambda c: F.array_join(F.transform(some, lambda x: F.concat(part(c, x["b"] - low, x["s"] - low), F.lit("<"), x["kind"], F.lit(">"))), ""))
+
+        return _once(F.slice(h, b * RUN + 1, RUN), pieces)
+
+    told = _once(heads, lambda h: F.array_join(F.transform(_blocks(F.size(h)), lambda b: block(h, b)), ""))
+    cut = F.concat(told, F.substr("_text", (F.array_max(F.transform("parts", lambda p: p["e"])) + 1).cast("int")))
     new = F.when(F.col(f"_row.{text}").isNull(), F.lit(None)).when(F.size("parts") == 0, F.col("_text")).otherwise(cut)
     return found.select(*[new.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
 
