@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearcurve.llm.common import WORD
-
 WINDOW = 8
 #: Rule name -> failing condition over the measurements; its position is its bit.
 RULES: dict[str, str] = {
@@ -37,14 +35,18 @@ def policy_mask(policy: str | tuple[str, ...]) -> int:
 
 
 def _repeat_words(words: str, window: int) -> Column:
-    """Words that lie in a window found twice or more. 64-bit hashes only find texts without a repeat; where there may be one, the windows themselves are sorted and compared."""
+    """Words that lie in a window found twice or more. 64-bit hashes only find texts without a repeat (first of half windows, whose hashes are made of pairs', then of
+    whole ones); where there may be one, the windows themselves are sorted and compared."""
     # Arrays that a lambda reads by position are bound by a one-element transform, else the optimizer may move
     # their expression into the lambda, where it would run once per position.
     # slice() copies the whole array each time, so windows are read by position.
     read = lambda a: ", ".join(f"get({a}, i + {k - 1})" for k in range(window))
     at = f"sequence(1, size(w) - {window - 1})"
-    hashes = f"transform(array(transform(w, x -> xxhash64(x))), h -> transform({at}, i -> xxhash64({read('h')})))"
-    twice = f"transform({hashes}, h -> size(array_distinct(h)) < size(h))[0]"
+    repeats = lambda a: f"transform(array({a}), a -> size(array_distinct(a)) < size(a))[0]"
+    joined = lambda a, k: f"transform(array({a}), a -> zip_with(a, slice(a, {k + 1}, size(a)), (x, y) -> xxhash64(x, y)))[0]"
+    half = joined(joined("h", 1), 2) if window >= 4 else "h"
+    whole = f"transform({at}, i -> xxhash64({read('h')}))"
+    twice = f"transform(array(transform(w, x -> xxhash64(x))), h -> {repeats(half)} AND {repeats(whole)})[0]"
     keyed = f"array(array_sort(transform({at}, i -> struct(concat_ws(' ', {read('w')}) AS k, i AS i))))"
     found = f"transform({keyed}, s -> array_sort(transform(filter(s, (x, j) -> coalesce(x.k = get(s, j - 1).k, false) OR coalesce(x.k = get(s, j + 1).k, false)), x -> x.i)))"
     covered = f"transform({found}, p -> aggregate(transform(p, (x, j) -> cast(least({window}, coalesce(get(p, j + 1) - x, {window})) AS long)), 0L, (a, x) -> a + x))[0]"
@@ -54,13 +56,14 @@ def _repeat_words(words: str, window: int) -> Column:
 def ledger(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep + MEASURES + failed_bits (long), one row per row of df; no shuffle."""
     d = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    d = d.withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
-    d = d.withColumn("_lines", F.expr(rf"filter(split(_text, '\n', -1), x -> x rlike r'{WORD}')"))
+    plain = F.regexp_replace("_text", r"[\x09-\x0D]", " ")  # splitting at one character needs no pattern
+    d = d.withColumn("_words", F.filter(F.split(plain, " ", -1), lambda x: x != ""))
+    d = d.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != ""))
     d = d.select(
         *keep,
         F.size("_words").cast("long").alias("n_words"),
         F.expr("aggregate(_words, 0L, (a, w) -> a + length(w))").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length("_text") - F.length(F.regexp_replace("_text", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words("_words", WINDOW).alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
