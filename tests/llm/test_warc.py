@@ -56,3 +56,15 @@ def test_coalesced_ranges():
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_archives_roll_and_reads_are_split(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_LEAST", 2000)
+    monkeypatch.setattr(warc, "RANGE", 1500)
+    rows = [(i, f"http://h/{i}", hashlib.sha512(str(i).encode()).hexdigest() * 2, None, None) for i in range(60)]
+    index = warc.write(spark.createDataFrame(rows, SCHEMA).coalesce(1), common.shared_dir(spark, "warc-test"), archive_bytes=8000)
+    sizes = {r[0]: r[1] for r in index.groupBy("archive").sum("length").collect()}
+    assert len(sizes) > 2 and max(sizes.values()) <= 8000
+    got = warc.read(index)
+    assert got.rdd.getNumPartitions() > 4
+    assert sorted((r.page_id, r.payload.decode()) for r in got.collect()) == [(i, b) for i, _, b, _, _ in rows]

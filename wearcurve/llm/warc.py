@@ -1,9 +1,9 @@
 """WARC archives: index first, then coalesced range reads.
 
-Every partition writes one archive into a folder that all executors share: a gzip member per record, under a file name of
+Every partition writes archives of about ARCHIVE bytes into a folder that all executors share: a gzip member per record, under file names of
 its own attempt, so a retried task leaves no half-written archive in the index. The index (archive, offset, length, URL, digest per
-record) is a table beside the archives. A read takes index rows, orders them by archive and offset, joins neighbours into ranges of at
-most RANGE bytes with gaps of at most GAP, and reads each range once.
+record) is a table beside the archives. A read takes index rows, deals them by archive and stretch of RANGE bytes to as many tasks as their summed
+lengths ask for, orders them by archive and offset, joins neighbours into ranges of at most RANGE bytes with gaps of at most GAP, and reads each range once.
 
 Of records with equal payloads of at least `least_bytes`, that with the largest page_id holds the payload; the others are
 revisits that name it. Payloads are compared by SHA-1 and length.
@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 from wearcurve.llm.common import shared_dir, small, stored
 
 RANGE, GAP = 8 << 20, 64 << 10
+ARCHIVE = 1 << 30
+#: Bytes of records that a read task takes: the least where all cores are busy, and the most.
+TASK_LEAST, TASK_MOST = 4 << 20, 256 << 20
 INDEX = "page_id long, archive string, offset long, length long, url string, digest string"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 #: Fixed values of the WARC 1.1 format.
@@ -78,8 +81,8 @@ def originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return d.groupBy("sha", "n_bytes").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
-    """Writes archives and index for page_id, url, html; returns the index, read back from the folder."""
+def write(pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE) -> DataFrame:
+    """Writes archives and index for page_id, url, html; returns the index, read back from the folder. A record that would pass archive_bytes begins a new archive."""
     shared, _ = small(stored(originals(pages, least_bytes), "originals"))
     body = F.coalesce("html", F.lit(""))
     d = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html"), F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).cast("long").alias("n_bytes"))
@@ -87,14 +90,18 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     d = d.select("page_id", "url", "html", F.coalesce(F.col("shared") & ~F.col("page_id").eqNullSafe(F.col("original")), F.lit(False)).alias("revisit"), "original")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, at, path = None, 0, f"{folder}/archive-{uuid.uuid4().hex}.warc.gz"
+        out, at, path = None, 0, ""
         for batch in batches:
             rows = []
             for page, url, html, revisit, original in zip(*(batch.column(c) for c in ("page_id", "url", "html", "revisit", "original")), strict=True):
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
                 digest = payload_digest(payload)
                 member = record(page.as_py(), url.as_py(), payload, digest, original.as_py(), revisit.as_py())
+                if out is not None and at + len(member) > archive_bytes:
+                    out.close()
+                    out = None
                 if out is None:
+                    at, path = 0, f"{folder}/archive-{uuid.uuid4().hex}.warc.gz"
                     fs, inner = pafs.FileSystem.from_uri(path)
                     fs.create_dir(inner.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(inner, compression=None)  # the members are compressed already
@@ -130,7 +137,9 @@ def coalesced(rows: Iterator[tuple[int, int]], most: int = RANGE, gap: int = GAP
 
 def read(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the selected index rows (RECORD; a revisit's payload is null), from as few range reads as possible."""
-    d = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, -(-total // TASK_MOST), min(-(-total // TASK_LEAST), 2 * index.sparkSession.sparkContext.defaultParallelism))
+    d = index.select("archive", "offset", "length").repartition(tasks, "archive", F.floor(F.col("offset") / RANGE)).sortWithinPartitions("archive", "offset")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
