@@ -136,21 +136,11 @@ TELLING: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
 
 
 def _lcs(x: list, y: list) -> list[tuple[int, int]]:
-    """A longest common subsequence, as pairs of places."""
-    n = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            n[i][j] = n[i + 1][j + 1] + 1 if x[i] == y[j] else max(n[i + 1][j], n[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif n[i + 1][j] >= n[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    """A longest common subsequence, as pairs of places: the longest rising run of all pairs of equal words. Its memory is that of the pairs."""
+    where: dict = {}
+    for j in range(len(y) - 1, -1, -1):  # falling, so that no two pairs of one place in x rise
+        where.setdefault(y[j], []).append(j)
+    return _rising([(i, j) for i, w in enumerate(x) for j in where.get(w, ())])
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
