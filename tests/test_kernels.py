@@ -130,7 +130,7 @@ def test_chunks_of_prose():
     text = "1.1 First\n" + "alpha beta. " * 60 + "\n2.1 Second\n" + "gamma delta. " * 60
     a, b = chunking.prose(text)
     assert a.startswith("1.1 First") and "2.1 Second" in b and b.startswith("alpha beta. alpha beta.")
-    assert chunking.paragraphs("a b\n\nc d\n\ne f", 4) == ["a b\n\nc d", "e f"]
+    assert chunking.split_long("a b\n\nc d\n\ne f", 3) == ["a b", "c d", "e f"] and chunking.split_long("a b\n\nc d\n\ne f g", 4) == ["a b\n\nc d", "e f g"]
 
 
 def test_chunks_of_tables():
@@ -141,7 +141,7 @@ def test_chunks_of_tables():
     assert chunking.table(f"{block}\n\n{block}") == [block, block]
     assert chunking.table("only") == ["only"] and chunking.table(" \n ") == []
     small = "one\n\n" + block
-    assert chunking.blocks(small.split("\n")) == ["one\n" + block]
+    assert chunking.blocks(small) == ["one\n" + block]
     assert chunking.chunk_page("few words", "mixed") == ["few words"]
 
 

@@ -24,6 +24,8 @@ def lookup(key: Column, table: dict[str, str], default: str | Column) -> Column:
 #: Bores of codes below 4, in mm, and of special designations.
 SMALL_BORES = {0: 10.0, 1: 12.0, 2: 15.0, 3: 17.0}
 SPECIAL_BORES = {"ZA2115": 49.2}
+#: Endings that name seals, shields and clearances.
+ENDINGS = ("2RS", "ZZ", "RS", "Z", "C3", "C4")
 
 
 def bore_mm(designation: Column) -> Column:
@@ -32,7 +34,7 @@ def bore_mm(designation: Column) -> Column:
     special = F.lit(None).cast("double")
     for name, bore in SPECIAL_BORES.items():
         special = F.when(F.replace(d, F.lit("-"), F.lit("")) == name, bore).otherwise(special)
-    digits = F.regexp_extract(F.regexp_replace(d, r"[-/](2RS|ZZ|RS|Z|C3|C4)$", ""), r"(\d{3,})$", 1)
+    digits = F.regexp_extract(F.regexp_replace(d, rf"[-/]({'|'.join(ENDINGS)})$", ""), r"(\d{3,})$", 1)
     code = F.when(F.length(digits) >= 3, F.right(digits, F.lit(2)).cast("int"))
     small = F.lit(None).cast("double")
     for c, bore in SMALL_BORES.items():

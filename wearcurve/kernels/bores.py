@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 
-from wearcurve.functions import SMALL_BORES, SPECIAL_BORES
+from wearcurve.functions import ENDINGS, SMALL_BORES, SPECIAL_BORES
 
 
 def bore_of(designation: str) -> float | None:
     d = designation.strip().upper()
     if (special := SPECIAL_BORES.get(d.replace("-", ""))) is not None:
         return special
-    m = re.search(r"\d{3,}$", re.sub(r"[-/](?:2RS|ZZ|RS|Z|C3|C4)$", "", d))
+    bare = next((d[: -len(e) - 1] for e in ENDINGS if d.endswith(("-" + e, "/" + e))), d)
+    m = re.search(r"\d{3,}$", bare)
     code = int(m[0][-2:]) if m else None
     return None if code is None else SMALL_BORES.get(code, code * 5.0)
 

@@ -92,7 +92,7 @@ def prose_ratings(text: str = "text"):
         v = F.nullif(F.regexp_extract(F.col(text), "(?i)" + pattern, 1), F.lit("")).cast("double")
         return F.when((v > 0.5) & (v < 2000), v)
 
-    return {f"{k}_kn": F.coalesce(*[value(p) for p in ps]) for k, ps in ratings._PROSE.items()}
+    return {k: F.coalesce(*[value(p) for p in ps]) for k, ps in ratings.PROSE.items()}
 
 
 def report(params: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -179,11 +179,11 @@ def plausible(spark, d):
 
 
 def _prose_sql(key):
-    v = [f"TRY_CAST(nullif(regexp_extract(text, {fixtures.quoted('(?i)' + p)}, 1), '') AS DOUBLE)" for p in ratings._PROSE[key]]
+    v = [f"TRY_CAST(nullif(regexp_extract(text, {fixtures.quoted('(?i)' + p)}, 1), '') AS DOUBLE)" for p in ratings.PROSE[key]]
     return "coalesce(" + ", ".join(f"CASE WHEN {x} > 0.5 AND {x} < 2000 THEN {x} END" for x in v) + ")"
 
 
-@query("prose_ratings", f"WITH {fixtures.CATALOG_SQL} SELECT chunk_id, {_prose_sql('c')} AS c_kn, {_prose_sql('c0')} AS c0_kn FROM cat")
+@query("prose_ratings", f"WITH {fixtures.CATALOG_SQL} SELECT chunk_id, {_prose_sql('c_kn')} AS c_kn, {_prose_sql('c0_kn')} AS c0_kn FROM cat")
 def prose_ratings(spark, d):
     return fixtures.catalog(spark).select("chunk_id", *[c.alias(k) for k, c in extraction.prose_ratings().items()])
 
