@@ -75,7 +75,8 @@ def shuffled(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: i
     starts = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
     starts, _ = small(starts)
     out = T.StructType([*[f for f in d.schema if f.name != "bucket"], T.StructField("slot", T.LongType())])
-    order = [(key, "ascending"), ("text_crc32", "ascending"), ("size", "ascending")]
+    d = d.withColumn("tie", F.xxhash64("carried") if carry else F.lit(0).cast("long"))
+    order = [(key, "ascending"), ("text_crc32", "ascending"), ("size", "ascending"), ("tie", "ascending")]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)  # one bucket
