@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +79,7 @@ def hybrid(queries: DataFrame, candidates: DataFrame, chunks: DataFrame, k: int
     score = F.when(holds, F.least(F.col("score") * 1.3, F.lit(1.0))).otherwise(F.col("score"))
     extra = F.lit(0.0)
     for signs, worth in reversed(SIGNS):
-        extra = F.when(F.greatest(*[F.col("text").rlike(x) for x in signs]), worth).otherwise(extra)
+        extra = F.when(reduce(or_, [F.col("text").rlike(x) for x in signs]), worth).otherwise(extra)
     d = d.withColumn("score", F.when(F.col("_d").isNotNull(), score + extra).otherwise(F.col("score")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return d.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).select("query_id", "chunk_id", "text", F.round("score", 9).alias("score"))

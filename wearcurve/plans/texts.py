@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wearcurve import functions as fn
 from wearcurve.kernels import ratings
 from wearcurve.operators import extraction, retrieval, text
-from wearcurve.plans import fixtures
+from wearcurve.plans import chunk_sql, fixtures
 from wearcurve.plans.registry import query
 from wearcurve.plans.views import table
 
@@ -19,7 +19,9 @@ _CLEAN = f"regexp_replace(array_to_string(list_transform(string_split(regexp_rep
 def pages(spark, d):
     """Documents as pages: the source's documents in order of their ids."""
     w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, d, "documents").select("source", F.row_number().over(w).cast("long").alias("page"), "doc_id", "text")
+    docs = table(spark, d, "documents").select("source", "doc_id", "text")
+    numbers = docs.select("doc_id", F.row_number().over(w).cast("long").alias("page"))  # texts aren't dealt by source
+    return docs.join(numbers, "doc_id").select("source", "page", "doc_id", "text")
 
 
 _PAGES = "pg AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, doc_id, text FROM documents)"
@@ -94,26 +96,38 @@ def chunk_table_rows(spark, d):
     return c.select("doc_id", "chunk_no", F.md5(F.col("c").cast("binary")).alias("chunk"))
 
 
-@query("chunk_prose")
+@query("chunk_prose", f"WITH RECURSIVE {_PAGES}, {chunk_sql.prose('pg')} SELECT source, page, chunk_no, md5(text) AS chunk FROM prose")
 def chunk_prose(spark, d):
-    """Greedy packing with overlaps (tests hold the kernel against its rules)."""
+    """Greedy packing with overlaps."""
     return text.chunk_pages(pages(spark, d).withColumn("content_type", F.lit("prose"))).select("source", "page", "chunk_no", F.md5(F.col("text").cast("binary")).alias("chunk"))
 
 
-@query("chunk_blocks")
+@query("chunk_blocks", f"WITH RECURSIVE {fixtures.CATALOG_SQL}, tp AS (SELECT source, page, string_agg(text, chr(10) || chr(10) ORDER BY chunk_no) AS text FROM cat GROUP BY source, page), {chunk_sql.tables('tp')} SELECT source, page, chunk_no, text FROM tables")
 def chunk_blocks(spark, d):
     """Table pages: logical blocks, or rows under their header."""
     p = fixtures.catalog(spark).groupBy("source", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
     return text.chunk_pages(p.withColumn("content_type", F.lit("table")))
 
 
-@query("ingest_chunks")
+_MAKER = "CASE WHEN contains(upper(source), 'SKF') OR contains(upper(t), 'SKF') THEN 'SKF' WHEN contains(upper(source), 'REXNORD') OR contains(upper(t), 'REXNORD') THEN 'Rexnord' WHEN contains(upper(source), 'LDK') OR contains(upper(t), 'LDK') THEN 'LDK' ELSE 'Unknown' END"
+_INGEST = f"""WITH RECURSIVE {_PAGES}, ls AS (SELECT source, page, {_LN} AS ls FROM pg), sizes AS (SELECT source, count(*) AS pages FROM pg GROUP BY source),
+  gone AS (SELECT source, list(line) AS gone FROM (SELECT source, line FROM (SELECT source, unnest(list_distinct(list_concat(ls[1:2], ls[-2:]))) AS line FROM ls) JOIN sizes USING (source)
+    WHERE length(line) < 200 AND pages >= 4 GROUP BY source, line, pages HAVING count(*) >= 0.5e0 * pages) GROUP BY source),
+  kept AS (SELECT source, page, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, trim(x, {_WS}))), chr(10)) END AS text FROM pg LEFT JOIN gone USING (source)),
+  cleaned AS (SELECT source, page, {_CLEAN} AS text FROM kept), p AS (SELECT source, page, text, {_KIND} AS kind, nullif({_HEADER}, '') AS h FROM cleaned WHERE length(text) >= 50),
+  told AS (SELECT source, page, kind, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY source ORDER BY page), '') AS section_header FROM p), f AS (SELECT source, min_by(text, page) AS t FROM p GROUP BY source),
+  pp AS (SELECT source, page, text FROM p WHERE kind = 'prose'), tp AS (SELECT source, page, text FROM p WHERE kind = 'table'), {chunk_sql.prose("pp")}, {chunk_sql.tables("tp")},
+  chunks AS (SELECT source || '__p' || page || '__c' || chunk_no AS chunk_id, source, page, section_header, kind AS content_type, {_MAKER} AS manufacturer, {chunk_sql.words("text")} AS word_count
+    FROM (SELECT * FROM prose UNION ALL SELECT * FROM tables) JOIN told USING (source, page) JOIN f USING (source))"""
+
+
+@query("ingest_chunks", f"{_INGEST} SELECT chunk_id, section_header, content_type, manufacturer, word_count FROM chunks")
 def ingest_chunks(spark, d):
     """Pages to described chunks."""
     return text.ingest(pages(spark, d).select("source", "page", "text")).select("chunk_id", "section_header", "content_type", "manufacturer", "word_count")
 
 
-@query("chunk_stats")
+@query("chunk_stats", f"{_INGEST} SELECT source, count(*) AS n_chunks, count(DISTINCT page) AS n_pages, round_even(avg(word_count), 0) AS mean_words FROM chunks GROUP BY source")
 def chunk_stats(spark, d):
     return text.chunk_stats(text.ingest(pages(spark, d).select("source", "page", "text")))
 
@@ -246,6 +260,9 @@ def extract_tier(spark, d):
     return p.select("p_partkey", extraction.tier("c", "k").alias("tier"))
 
 
-@query("expanded_queries")
+_KNOWN = "CASE upper(d) " + " ".join(f"WHEN {fixtures.quoted(k)} THEN {fixtures.quoted(v)}" for k, v in retrieval.KNOWN.items()) + " ELSE '' END"
+
+
+@query("expanded_queries", f"WITH {fixtures.QUERIES_SQL}, e AS (SELECT query_id, query, {_DESIGNATION} AS d FROM qs) SELECT query_id, unnest(CASE WHEN d IS NULL THEN [query] ELSE [query, d || ' specifications dimensions load rating', trim({_KNOWN} || ' ' || d || ' bearing')] END) AS query FROM e")
 def expanded_queries(spark, d):
     return retrieval.expanded_queries(fixtures.queries(spark))
