@@ -1,8 +1,8 @@
 """The step controller over a stream of readings, and its batch twin.
 
 State of a unit is fixed in size (sums and short rings), so a stream may run for ever. Readings are applied in event-time order: a
-micro-batch's own rows are sorted, and rows that are older than the last applied one are counted as late and left out (a watermark upstream
-bounds how old they can be).
+micro-batch's own rows are sorted, rows of the same time as the last applied one follow it, and rows that are older than it are left out (a
+watermark upstream bounds how old they can be).
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def stream(readings: DataFrame) -> DataFrame:
         s, last = (StepState(*held[:8]), held[8]) if held else (StepState(), None)
         pdf = pd.concat(list(batches)).sort_values("ts", kind="stable")
         if last is not None:
-            pdf = pdf[pdf["ts"] > pd.Timestamp(last)]
+            pdf = pdf[pdf["ts"] >= pd.Timestamp(last)]
         if len(pdf):
             out = _apply(int(key[0]), pdf, s)
             state.update((*s.pack(), pdf["ts"].iloc[-1].to_pydatetime()))
