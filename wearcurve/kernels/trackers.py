@@ -107,6 +107,34 @@ def pid_step(observed: float, baseline: float, s: StepState, p: PIDParams = PIDP
     return baseline + s.cumulative, max(0.0, (threshold - observed) / rate) if rate > 1e-8 else float("inf")
 
 
+def pid_steps(o: np.ndarray, b: np.ndarray, threshold: np.ndarray, p: PIDParams = PIDParams(), vol_window: int = 15, vol_threshold: float = 2.0, gain: float = 2.5) -> dict[str, np.ndarray]:
+    """pid_step over units x time: all units take their t-th reading at once. The usual volatility is the median of the first 5."""
+    units, steps = o.shape
+    errors, vols = np.full((units, steps), np.nan), np.full((units, steps), np.nan)
+    adjusted, life, fast = np.empty((units, steps)), np.empty((units, steps)), np.zeros((units, steps), bool)
+    total, previous, usual = np.zeros(units), np.zeros(units), np.full(units, np.nan)
+    state, since = np.zeros(units, bool), np.zeros(units, np.int64)
+    known = vol_window + 3
+    for t in range(steps):
+        errors[:, t] = e = o[:, t] - (b[:, t] + total)
+        if t >= vol_window - 1:
+            vols[:, t] = errors[:, t - vol_window + 1 : t + 1].std(axis=1)
+            since += 1
+            if t == known:
+                usual = np.maximum(np.median(vols[:, vol_window - 1 : t + 1], axis=1), 1e-8)
+            if t >= known:
+                flip = (since >= 5) & ((vols[:, t] > vol_threshold * usual) != state)
+                state, since = state ^ flip, np.where(flip, 0, since)
+        g = np.where(state, gain, 1.0)
+        raw = p.kp * g * e + p.ki * g * errors[:, max(0, t + 1 - p.integral_window) : t + 1].mean(axis=1) + p.kd * g * (e - previous)
+        total, previous = total + clip(raw, -p.clip * g, p.clip * g), e
+        rate = (e - errors[:, t - 4]) / 4 if t >= 4 else np.zeros(units)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            life[:, t] = np.where(rate > 1e-8, np.fmax(0.0, (threshold[:, t] - o[:, t]) / rate), np.inf)
+        adjusted[:, t], fast[:, t] = b[:, t] + total, state
+    return {"adjusted": adjusted, "predicted_rul": life, "accelerated": fast}
+
+
 def regimes(errors: np.ndarray, n: np.ndarray, vol_window: int = 15, multiplier: float = 2.0, least: int = 5) -> dict[str, np.ndarray]:
     """Volatility, state and switches by a slowly learnt level and a debounce."""
     units, steps = errors.shape

@@ -164,11 +164,30 @@ def benchmark_all_models(spark, d):
     return _told(runner.benchmark_rows(bench_units(spark, d), "events"))
 
 
-@query("pid_stream_batch")
+#: The step controller as a recursive query; h: the last 15 errors, v: the first 5 volatilities, since: tests since the last switch.
+STEPS = """so AS (SELECT user_id AS unit_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) - 1 AS t, value AS o, 50e0 AS b, 100e0 AS thr FROM events),
+  sx AS (
+    SELECT unit_id, -1::BIGINT AS t, ts, o, thr, 0e0 AS e, 0e0 AS cum, []::DOUBLE[] AS h, []::DOUBLE[] AS v, 0 AS since, false AS fast, 0e0 AS adj FROM so WHERE t = 0
+    UNION ALL
+    SELECT unit_id, t, ts, o, thr, e, cum + greatest(-0.05e0 * g, least(0.05e0 * g, raw)), h, v, since, fast, b + cum + greatest(-0.05e0 * g, least(0.05e0 * g, raw))
+    FROM (SELECT *, 0.08e0 * g * e + 0.02e0 * g * list_avg(h[-10:]) + 0.03e0 * g * (e - before) AS raw
+      FROM (SELECT * REPLACE (fast <> flip AS fast, CASE WHEN flip THEN 0 ELSE since END AS since), CASE WHEN fast <> flip THEN 2.5e0 ELSE 1e0 END AS g
+        FROM (SELECT *, len(v) = 5 AND since >= 5 AND (vol > 2 * greatest(1e-8, list_median(v))) <> fast AS flip
+          FROM (SELECT * REPLACE (CASE WHEN len(h) = 15 AND len(v) < 5 THEN list_append(v, vol) ELSE v END AS v, CASE WHEN len(h) = 15 THEN since + 1 ELSE since END AS since)
+            FROM (SELECT *, CASE WHEN len(h) = 15 THEN list_stddev_pop(h) END AS vol
+              FROM (SELECT x.unit_id, x.t, x.ts, x.o, x.b, x.thr, x.o - (x.b + p.cum) AS e, p.e AS before, p.cum, list_append(p.h, x.o - (x.b + p.cum))[-15:] AS h, p.v, p.since, p.fast
+                FROM sx p JOIN so x ON x.unit_id = p.unit_id AND x.t = p.t + 1)))))))"""
+
+
+@query(
+    "pid_stream_batch",
+    f"WITH RECURSIVE {STEPS} SELECT unit_id, ts, t AS step, round(adj, 6) AS adjusted, round(CASE WHEN t >= 4 AND (h[-1] - h[-5]) / 4 > 1e-8 THEN greatest(0, (thr - o) / ((h[-1] - h[-5]) / 4)) END, 3) AS predicted_rul, "
+    "CASE WHEN fast THEN 'accelerated' ELSE 'normal' END AS regime FROM sx WHERE t >= 0",
+)
 def pid_stream_batch(spark, d):
     """The batch twin of the streaming controller (tests hold the stream against it)."""
     h = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("unit_id"), "ts", F.col("value").alias("observed"), F.lit(50.0).alias("baseline"), F.lit(100.0).alias("threshold"))
-    return stream_pid.batch(h).withColumn("predicted_rul", F.when(F.col("predicted_rul") < float("inf"), F.col("predicted_rul")))
+    return stream_pid.batch(h).withColumn("predicted_rul", F.when(F.col("predicted_rul") < float("inf"), F.round("predicted_rul", 3)))
 
 
 @query("healthy_alarm", f"WITH {EV}, h AS (SELECT *, avg(CASE WHEN t < greatest(1, n // 10) THEN value END) OVER (PARTITION BY unit_id) AS hm, stddev_pop(CASE WHEN t < greatest(1, n // 10) THEN value END) OVER (PARTITION BY unit_id) AS sd FROM ev) SELECT unit_id, min(t) FILTER (WHERE value >= CASE WHEN hm + 5 * sd > hm THEN hm + 5 * sd ELSE hm + 1 END) AS first_alarm FROM h GROUP BY unit_id")

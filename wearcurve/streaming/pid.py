@@ -1,7 +1,7 @@
 """The step controller over a stream of readings, and its batch twin.
 
 State of a unit is fixed in size (sums and short rings), so a stream may run for ever. Readings are applied in event-time order: a
-micro-batch's own rows are sorted, rows of the same time as the last applied one follow it, and rows that are older than it are left out (a
+micro-batch's own rows are sorted (readings of one time by their values), rows of the same time as the last applied one follow it, and rows that are older than it are left out (a
 watermark upstream bounds how old they can be).
 """
 
@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wearcurve.kernels.trackers import StepState, pid_step
+from wearcurve.kernels.trackers import StepState, pid_step, pid_steps
+from wearcurve.operators.units import per_unit, trajectory
 
 STATE = "cumulative double, errors array<double>, previous double, accelerated boolean, volatilities array<double>, usual double, steps long, seen long, last_ts timestamp"
+#: A total order of readings, up to equal ones.
+ORDER = ["ts", "observed", "baseline", "threshold"]
 OUTPUT = "unit_id long, ts timestamp, step long, adjusted double, predicted_rul double, regime string"
 
 
@@ -35,7 +38,7 @@ def stream(readings: DataFrame) -> DataFrame:
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.getOption
         s, last = (StepState(*held[:8]), held[8]) if held else (StepState(), None)
-        pdf = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        pdf = pd.concat(list(batches)).sort_values(ORDER, kind="stable")
         if last is not None:
             pdf = pdf[pdf["ts"] >= pd.Timestamp(last)]
         if len(pdf):
@@ -47,21 +50,14 @@ def stream(readings: DataFrame) -> DataFrame:
 
 
 def batch(readings: DataFrame) -> DataFrame:
-    """The same rows from a table; one pass over each unit in order."""
-    d = readings.select(F.col("unit_id").cast("long").alias("unit_id"), "ts", "observed", "baseline", "threshold").repartition("unit_id").sortWithinPartitions("unit_id", "ts")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit, s = None, StepState()
-        for pdf in batches:
-            ids = pdf["unit_id"].to_numpy()
-            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b > a:
-                    if unit != ids[a]:
-                        unit, s = ids[a], StepState()
-                    yield _apply(int(unit), pdf.iloc[a:b], s)
-
-    return d.mapInPandas(run, OUTPUT)
+    """The same rows from a table; all units of a block advance together."""
+
+    def kernel(x: dict[str, np.ndarray], n: np.ndarray) -> dict[str, np.ndarray]:
+        return pid_steps(x["observed"], x["baseline"], x["threshold"])
+
+    d = trajectory(readings, "unit_id", ORDER, ts="ts", observed="observed", baseline="baseline", threshold="threshold")
+    d = per_unit(d, ["observed", "baseline", "threshold"], kernel, "adjusted double, predicted_rul double, accelerated boolean", keep=("ts",))
+    return d.select("unit_id", "ts", F.col("t").alias("step"), "adjusted", "predicted_rul", F.when(F.col("accelerated"), "accelerated").otherwise("normal").alias("regime"))
 
 
 def tick_aggregates(readings: DataFrame, every: str = "1 day", late: str = "1 hour") -> DataFrame:
