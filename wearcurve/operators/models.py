@@ -55,16 +55,9 @@ def rolling_refit(df: DataFrame, value: str, window: int = 50, every: int = 10,
     return per_unit(df, [value, "threshold"], kernel, "fitted double, predicted_rul double, refit double", ("threshold",), keep)
 
 
-def static_curve_sql(df: DataFrame, value: str) -> DataFrame:
-    """unit_id, a, b of the grid fit, in SQL only: for every b the closed form of a from four sums, then the least error."""
-    low, high = F.min(value).over(by_unit()), F.max(value).over(by_unit())
-    d = df.select("unit_id", "t", "n", ((F.col(value) - low) / F.when(high - low < 1e-8, F.lit(1.0)).otherwise(high - low)).alias("z"))
-    d = d.withColumn("b", F.explode(F.transform(F.sequence(F.lit(1), F.lit(len(fit.GRID))), lambda k: k * F.lit(0.05))))
-    d = d.withColumn("g", F.exp(F.col("b") * F.col("t") / F.col("n")) - 1)
-    s = d.groupBy("unit_id", "b").agg(F.sum(F.col("z") * F.col("g")).alias("zg"), F.sum(F.col("g") * F.col("g")).alias("gg"), F.sum(F.col("z") * F.col("z")).alias("zz"))
-    s = s.withColumn("a", F.greatest(F.lit(fit.A_MIN), F.least(F.lit(fit.A_MAX), F.col("zg") / F.col("gg"))))
-    s = s.withColumn("error", F.round(F.col("zz") - 2 * F.col("a") * F.col("zg") + F.col("a") * F.col("a") * F.col("gg"), 9))
-    return s.groupBy("unit_id").agg(F.min_by(F.struct("a", "b"), F.struct("error", "b")).alias("x")).select("unit_id", "x.a", "x.b")
+def static_coefficients(df: DataFrame, value: str) -> DataFrame:
+    """unit_id, a, b of the grid fit."""
+    return static_curve(df.withColumn("threshold", F.lit(1.0)), value, grid=True).where("t = 0").select("unit_id", "a", "b")
 
 
 def refit_points(df: DataFrame, window: int = 50, every: int = 10) -> DataFrame:

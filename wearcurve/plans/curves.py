@@ -267,7 +267,7 @@ _Z = "z AS (SELECT unit_id, t, n, (value - min(value) OVER w) / CASE WHEN max(va
 
 @query("static_curve_grid", f"WITH {EV}, {_Z}, {grid_fit('z', 'unit_id', '(t / (n + 0e0))')} SELECT unit_id, round(a, 6) AS a, round(b, 6) AS b FROM fit")
 def static_curve_grid(spark, d):
-    return models.static_curve_sql(events(spark, d), "value")
+    return models.static_coefficients(events(spark, d), "value")
 
 
 _STATIC_RUL = "CASE WHEN x.x IS NULL THEN z.n - z.t + 0e0 ELSE greatest(0e0, x.x - z.t + 0e0) END"
