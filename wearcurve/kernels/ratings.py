@@ -29,7 +29,7 @@ class Notation:
     group: str = ""
 
     def cells(self, line: str) -> list[float]:
-        whole = rf"\d{{1,3}}(?:{self.group}\d{{3}})+(?![\d{self.decimal}])|\d+" if self.group else r"\d+"
+        whole = rf"\d{{1,3}}(?:{self.group}\d{{3}})+\b|\d+" if self.group else r"\d+"
         found = re.findall(rf"(?:{whole})(?:{self.decimal}\d*)?", line)
         return [float(re.sub(r"[^\d.]", "", x.replace(",", ".") if self.group != "," else x)) for x in found]
 

@@ -36,13 +36,14 @@ def of_maker(hits: DataFrame) -> DataFrame:
     for m, names in SOURCES.items():
         for n in names:
             own = own | ((F.upper("manufacturer") == m) & F.contains(F.lower("source"), F.lit(n)))
-    w = Window.partitionBy("designation")
-    return hits.withColumn("_own", own).withColumn("_any", F.max("_own").over(w)).where("_own OR NOT _any").drop("_own", "_any")
+    told = hits.withColumn("_own", own)
+    chosen = told.groupBy("designation").agg(F.max("_own").alias("_any"))  # a row a designation; hits of a common one aren't dealt to one task
+    return told.join(chosen, "designation").where("_own OR NOT _any").drop("_own", "_any")
 
 
 def rated(hits: DataFrame, use_known: bool = False) -> DataFrame:
-    """hits (designation, manufacturer, known_c_kn, source, page, chunk_id, merged) with ratings found: + c_kn, c0_kn, found_bore_mm."""
-    names = ["designation", "manufacturer", "bearing_type", "known_c_kn", "known_bore_mm", "source", "page", "chunk_id", "merged"]
+    """hits (designation, manufacturer, known_c_kn, source, page, chunk_id, merged) with ratings found: + c_kn, c0_kn, found_bore_mm, code_bore_mm (by the designation)."""
+    names = ["designation", "manufacturer", "bearing_type", "known_c_kn", "known_bore_mm", "source", "page", "chunk_id", "merged", "code_bore_mm"]
 
     def run(batches):
         import pandas as pd
@@ -54,7 +55,7 @@ def rated(hits: DataFrame, use_known: bool = False) -> DataFrame:
                 rows.append((r.get("c_kn"), r.get("c0_kn"), r.get("bore_mm")))
             yield pd.concat([pdf, pd.DataFrame(rows, columns=["c_kn", "c0_kn", "found_bore_mm"], index=pdf.index, dtype=float)], axis=1)
 
-    d = hits.select(*names)
+    d = hits.withColumn("code_bore_mm", fn.bore_mm(F.col("designation"))).select(*names)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema) + ", c_kn double, c0_kn double, found_bore_mm double"
     return d.mapInPandas(run, schema).where("c_kn IS NOT NULL AND NOT isnan(c_kn)").withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("c0_kn", "found_bore_mm")})
 
@@ -66,7 +67,7 @@ def tier(c: str = "c_kn", known: str = "known_c_kn"):
 
 def extract(wanted: DataFrame, hits: DataFrame, use_known: bool = False) -> DataFrame:
     """A row of PARAMS for each wanted bearing. Of several plausible candidates the first by chunk_id counts (use_known: that closest to the known rating, as long as one is given)."""
-    found = rated(of_maker(hits), use_known).withColumn("bore_mm", F.coalesce("found_bore_mm", fn.bore_mm(F.col("designation"))))
+    found = rated(of_maker(hits), use_known).withColumn("bore_mm", F.coalesce("found_bore_mm", "code_bore_mm"))
     found = found.where(fn.plausible(F.col("bore_mm"), F.col("c_kn"), F.col("bearing_type")))
     order = F.struct(F.when(F.lit(use_known), F.abs(F.col("c_kn") - F.col("known_c_kn"))).otherwise(F.lit(0.0)), F.col("chunk_id"))
     best = found.groupBy("designation").agg(F.min_by(F.struct("c_kn", "c0_kn", "bore_mm", "source", "page", "merged"), order).alias("x")).select("designation", "x.*")

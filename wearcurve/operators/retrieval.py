@@ -2,50 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wearcurve import functions as fn
 
 #: Makers of known designations, and prefixes that scans confuse.
 KNOWN = {"6205": "SKF", "6205-2RS": "SKF", "6204": "SKF", "6204-2RS": "SKF", "ZA-2115": "Rexnord", "ZA2115": "Rexnord", "UER204": "LDK"}
 QUERY_BLOCK = 4096
+#: Scores that a task computes at once.
+SCORES = 4_000_000
 CONFUSED = {"UER": ["VER", "UFR", "UBR"]}
 #: What a text that holds ratings shows, and what it is worth (the first that holds): thousands set off by a comma or a number in kilonewtons; else a number of 4 to 6 digits.
 SIGNS = [([r"[0-9],[0-9]{3}", *(rf"[0-9][.]?\s*{unit}" for unit in ("kN", "KN", "kn"))], 0.1), ([r"\b[0-9]{4,6}\b"], 0.05)]
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def unit_vector(v: Column) -> Column:
-    """The vector at length 1 (a zero vector stays)."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x.cast("double")))
-
-
 def knn(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "query_id", vid: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """qid, vid, score: the k most similar vectors of each query by cosine, exactly; the smaller id of equals.
+    """qid, vid, score: the k most similar vectors of each query by cosine (to 9 decimals), exactly; the smaller id of equals. A vector of zeros is worth 0, null vectors take no part.
 
-    Queries are broadcast in blocks of at most QUERY_BLOCK, whatever their number; each block is held against all vectors. The limit on the row number reaches
-    below the shuffle, so a task sends k rows a query.
+    Queries are taken in blocks of about QUERY_BLOCK, whatever their number, which every task gets as one matrix; each batch of vectors is multiplied by it and
+    sends on its own k best a query, which the row number cuts again below its shuffle.
     """
-    blocks = -(-max(queries.count(), 1) // QUERY_BLOCK)
-    q = queries.select(qid, unit_vector(F.col(vec)).alias("_q"), F.pmod(F.xxhash64(qid), F.lit(blocks)).alias("_block"))
-    v = vectors.select(vid, unit_vector(F.col(vec)).alias("_v"))
+    spark = queries.sparkSession
+    asked = queries.where(F.col(vec).isNotNull()).select(qid, F.col(vec).cast("array<double>").alias("_v"))
+    given = vectors.where(F.col(vec).isNotNull()).select(vid, F.col(vec).cast("array<double>").alias("_v"))
+    schema = T.StructType([T.StructField("_q", T.IntegerType()), given.schema[vid], T.StructField("score", T.DoubleType())])
+    blocks = -(-max(asked.count(), 1) // QUERY_BLOCK)
     w = Window.partitionBy(qid).orderBy(F.desc("score"), vid)
     out = None
     for b in range(blocks):
-        scored = v.crossJoin(F.broadcast(q.where(F.col("_block") == b).drop("_block"))).select(qid, vid, F.round(dot(F.col("_q"), F.col("_v")), 9).alias("score"))
-        part = scored.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
+        block = asked.where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b).collect()
+        names = spark.createDataFrame([(r[0], i) for i, r in enumerate(block)], T.StructType([asked.schema[qid], T.StructField("_q", T.IntegerType())]))
+        scored = given.mapInArrow(_nearest(spark.sparkContext.broadcast(np.array([r[1] for r in block], float)), k, vid), schema)
+        part = scored.join(F.broadcast(names), "_q").select(qid, vid, "score").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _nearest(asked, k: int, vid: str):
+    """Arrow batches of vid and _v to _q (row of the matrix asked), vid and score of the k best in each batch."""
+    cells = SCORES
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return m / np.where(size > 0, size, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = asked.value
+        if not len(q):
+            return
+        q = unit(q)
+        for batch in batches:
+            for at in range(0, batch.num_rows, max(1, cells // len(q))):
+                part = batch.slice(at, max(1, cells // len(q)))
+                part = part.sort_by(vid)  # so that the first of equals has the smallest id
+                m = unit(part.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
+                score = np.round(q @ m.T, 9) + 0.0
+                if part.num_rows > k:
+                    least = np.partition(score, part.num_rows - k, axis=1)[:, [part.num_rows - k]]
+                    above, equal = score > least, score == least
+                    row, col = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True))))
+                else:
+                    row, col = (x.ravel() for x in np.indices(score.shape))
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), part.column(vid).take(pa.array(col)), pa.array(score[row, col])], names=["_q", vid, "score"])
+
+    return run
+
+
 def search_terms(d: Column) -> Column:
     """Spellings under which a designation is looked for."""
     up = F.upper(d)
@@ -92,7 +122,7 @@ def dedup_max(hits: DataFrame, key: str = "chunk_id") -> DataFrame:
 def hashed_vector(text: Column, size: int = 256) -> Column:
     """Counts of the text's words in `size` hashed places: a stand-in where no embedding model is at hand."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
+    places = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % size).cast("int"))
     counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(own, lambda p: p == k)).cast("double"))
     return F.get(F.transform(F.array(places), counts), F.lit(0))  # the places are computed once
 

@@ -88,17 +88,19 @@ def per_unit(df: DataFrame, columns: list[str], kernel: Callable[[dict[str, np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            if sum(b.num_rows for b in held) >= BLOCK_ROWS:
+            rows += batch.num_rows
+            last = batch.column(0)[-1].as_py()
+            if rows >= BLOCK_ROWS and last != held[0].column(0)[0].as_py():  # a unit that fills all of it goes on growing, untouched
                 t = pa.Table.from_batches(held)
-                last = t.column("unit_id")[-1].as_py()
-                cut = int(np.searchsorted(t.column("unit_id").to_numpy(), last))
-                if cut:
-                    yield block(t.slice(0, cut))
-                    held = t.slice(cut).to_batches()
+                cut = int(np.searchsorted(t.column("unit_id").to_numpy() == last, True))
+                yield block(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                rows = t.num_rows - cut
         if held:
             yield block(pa.Table.from_batches(held))
 
