@@ -190,3 +190,11 @@ def test_mat_files():
     assert np.allclose(found["X097_DE_time"].ravel(), x) and found["m"].tolist() == [[1.0, 2.0], [3.0, 4.0]]
     cells = mat.capacities(mat_file(structure("Cell1", {"other": [1.0] * 3, "capacity": x}), numeric("Cell2", x[:20])))
     assert np.allclose(cells["Cell1"], x) and len(cells["Cell2"]) == 20
+
+
+def test_groups_of_digits_end_at_a_word():
+    from wearcurve.kernels import ratings
+
+    assert ratings.METRIC_GROUPED.cells("28 000") == [28000.0] and ratings.METRIC_GROUPED.cells("28 000,5 14,8") == [28000.5, 14.8]
+    assert ratings.METRIC_GROUPED.cells("1 0005") == [1.0, 5.0]
+    assert ratings.IMPERIAL.cells("20,300 26,200.5 1,2345") == [20300.0, 26200.5, 1.0, 2345.0]

@@ -245,3 +245,34 @@ def test_tick_aggregates(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("ticks").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.n, r.mean) for r in spark.table("ticks").collect()] == [(2, 2.0)]
+
+
+def test_knn_takes_the_smaller_id_of_equals_in_every_batch(spark, monkeypatch):
+    """Against brute force, with repeated vectors, zeros and nulls, batches of a few vectors and several blocks of queries."""
+    rng = np.random.default_rng(3)
+    rows = [(f"v{i:03d}", [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(60)] + [("w1", [0.0] * 4), ("w0", [1.0, 0.0, 0.0, 0.0]), ("w2", [2.0, 0.0, 0.0, 0.0])]
+    asked = [(i, v) for i, (_, v) in enumerate(rows[::5])]
+    monkeypatch.setattr(retrieval, "SCORES", 50)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    vectors = spark.createDataFrame([*rows, ("gone", None)], "vec_id string, embedding array<double>").repartition(3)
+    got = retrieval.knn(spark.createDataFrame([*asked, (99, None)], "query_id long, embedding array<double>"), vectors, 4).collect()
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1)
+    want = {(q, v, s) for q, a in asked for s, v in sorted(((round(float(unit(a) @ unit(b)), 9) + 0.0, v) for v, b in rows), key=lambda x: (-x[0], x[1]))[:4]}
+    assert {(r.query_id, r.vec_id, r.score) for r in got} == want and len(got) == len(want)
+    assert retrieval.knn(vectors.limit(0).withColumnRenamed("vec_id", "query_id"), vectors, 4).count() == 0
+
+
+def test_kernels_over_a_unit_of_many_batches(spark, monkeypatch):
+    """Units longer than a block stay whole, short ones share blocks."""
+    from wearcurve.operators import units
+
+    monkeypatch.setattr(units, "BLOCK_ROWS", 50)
+    lengths = {1: 3, 2: 400, 3: 1, 4: 60, 5: 2}
+    df = spark.createDataFrame([(u, t, float(t)) for u, n in lengths.items() for t in range(n)], "unit_id long, t long, x double").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = units.per_unit(df, ["x"], lambda x, n: {"total": np.cumsum(np.nan_to_num(x["x"]), axis=1)}, "total double").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r.unit_id, r.t): r.total for r in got} == {(u, t): t * (t + 1) / 2 for u, n in lengths.items() for t in range(n)}

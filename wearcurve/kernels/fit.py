@@ -12,6 +12,8 @@ A_MIN, A_MAX, B_MIN, B_MAX = 1e-6, 10.0, 1e-4, 10.0
 #: The grid of b.
 GRID = np.array([0.05 * k for k in range(1, 201)])
 _RATIO = (np.sqrt(5) - 1) / 2
+#: Golden sections of a refined fit.
+ROUNDS = 60
 
 
 def curve(t, a, b):
@@ -36,7 +38,7 @@ def fit_grid(t: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a[k]), float(GRID[k])
 
 
-def fit(t: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+def fit(t: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> tuple[float, float]:
     """(a, b), refined between the neighbours of the grid's best point."""
     _, b = fit_grid(t, y)
     low, high = max(B_MIN, b - 0.05), min(B_MAX, b + 0.05)

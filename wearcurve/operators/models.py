@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,9 +37,9 @@ def _loop(one, n: np.ndarray, names: tuple[str, ...], shape: tuple[int, int]) ->
     return out
 
 
-def static_curve(df: DataFrame, value: str, fit_window: int | None = None, grid: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """unit_id, t, fitted, predicted_rul, a, b. df has threshold. grid: b only from the kernel's grid."""
-    fitter = fit.fit_grid if grid else fit.fit
+def static_curve(df: DataFrame, value: str, fit_window: int | None = None, grid: bool = False, keep: tuple[str, ...] = (), rounds: int = fit.ROUNDS) -> DataFrame:
+    """unit_id, t, fitted, predicted_rul, a, b. df has threshold. grid: b only from the kernel's grid; rounds: golden sections around its best point."""
+    fitter = fit.fit_grid if grid else partial(fit.fit, rounds=rounds)
 
     def kernel(x: dict[str, np.ndarray], n: np.ndarray) -> dict[str, np.ndarray]:
         return _loop(lambda u, m: fit.static(x[value][u, :m], fit_window, float(x["threshold"][u]), fitter), n, ("fitted", "predicted_rul", "a", "b"), x[value].shape)
@@ -45,9 +47,9 @@ def static_curve(df: DataFrame, value: str, fit_window: int | None = None, grid:
     return per_unit(df, [value, "threshold"], kernel, "fitted double, predicted_rul double, a double, b double", ("threshold",), keep)
 
 
-def rolling_refit(df: DataFrame, value: str, window: int = 50, every: int = 10, grid: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def rolling_refit(df: DataFrame, value: str, window: int = 50, every: int = 10, grid: bool = False, keep: tuple[str, ...] = (), rounds: int = fit.ROUNDS) -> DataFrame:
     """unit_id, t, fitted, predicted_rul, refit (1 where the curve was fitted anew)."""
-    fitter = fit.fit_grid if grid else fit.fit
+    fitter = fit.fit_grid if grid else partial(fit.fit, rounds=rounds)
 
     def kernel(x: dict[str, np.ndarray], n: np.ndarray) -> dict[str, np.ndarray]:
         return _loop(lambda u, m: fit.rolling(x[value][u, :m], window, every, float(x["threshold"][u]), fitter), n, ("fitted", "predicted_rul", "refit"), x[value].shape)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wearcurve.kernels import fit
 from wearcurve.operators import evaluation, life, models, trackers
 
 MODELS = ["threshold_alarm", "static_curve", "rolling_refit", "pid_adaptive", "pid_regime"]
@@ -20,7 +21,7 @@ def level_or_one(c: str = "threshold"):
     return F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(0.0)), F.lit(1.0))
 
 
-def model_tracks(df: DataFrame, wanted: list[str] | None = None, grid: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def model_tracks(df: DataFrame, wanted: list[str] | None = None, grid: bool = False, keep: tuple[str, ...] = (), rounds: int = fit.ROUNDS) -> DataFrame:
     """unit_id, t, keep, model, predicted_rul, alarm. df: unit_id, t, n, observed, baseline (null: no prior), threshold.
 
     Units without a prior get no controller; units of fewer than 50 rows no rolling refit.
@@ -30,8 +31,8 @@ def model_tracks(df: DataFrame, wanted: list[str] | None = None, grid: bool = Fa
     prior = d.where(F.col("baseline").isNotNull())
     made = {
         "threshold_alarm": lambda: models.threshold_alarm(d, "observed", keep=keep).select("unit_id", "t", *keep, F.lit(None).cast("double").alias("predicted_rul"), "alarm"),
-        "static_curve": lambda: models.static_curve(d, "observed", grid=grid, keep=keep),
-        "rolling_refit": lambda: models.rolling_refit(d.where("n >= 50"), "observed", grid=grid, keep=keep),
+        "static_curve": lambda: models.static_curve(d, "observed", grid=grid, keep=keep, rounds=rounds),
+        "rolling_refit": lambda: models.rolling_refit(d.where("n >= 50"), "observed", grid=grid, keep=keep, rounds=rounds),
         "pid_adaptive": lambda: trackers.pid_track(prior, keep=keep),
         "pid_regime": lambda: trackers.pid_regime_track(prior, keep=keep),
     }
@@ -44,14 +45,14 @@ def model_tracks(df: DataFrame, wanted: list[str] | None = None, grid: bool = Fa
     return reduce(DataFrame.unionByName, parts)
 
 
-def benchmark_rows(df: DataFrame, dataset: str, wanted: list[str] | None = None, grid: bool = False) -> DataFrame:
+def benchmark_rows(df: DataFrame, dataset: str, wanted: list[str] | None = None, grid: bool = False, rounds: int = fit.ROUNDS) -> DataFrame:
     """The result relation. df also has true_rul (null: use the ramp to failure_index), failure_index, prior_quality, equipment_type, is_run_to_failure.
 
     n_valid is the unit's number of rows.
     """
     actual = F.coalesce(F.col("true_rul"), life.ramp(F.col("failure_index")))
     facts = ("n", "failure_index", "actual_rul", "prior_quality", "equipment_type", "is_run_to_failure")
-    d = model_tracks(df.withColumn("actual_rul", actual), wanted, grid, facts)
+    d = model_tracks(df.withColumn("actual_rul", actual), wanted, grid, facts, rounds)
     keys = ["unit_id", "model", "n", "prior_quality", "equipment_type", "is_run_to_failure"]
     told = {k: c for k, c in (evaluation.rul_aggregates() | evaluation.detection_aggregates()).items() if k != "n_valid"}
     d = d.groupBy(*keys).agg(*[c.alias(k) for k, c in told.items()])

@@ -256,10 +256,26 @@ def clip_finite(spark, d):
 _GRID = "(SELECT k * 0.05e0 AS b FROM (SELECT unnest(range(1, 201)) AS k)) g"
 
 
-def grid_fit(src: str, key: str, t: str) -> str:
-    """CTEs fit(key, a, b) of the grid fit over src(key, t-expression, z)."""
-    return f"""s AS (SELECT {key}, b, sum(z * (exp(b * {t}) - 1)) AS zg, sum(pow(exp(b * {t}) - 1, 2)) AS gg, sum(z * z) AS zz FROM {src}, {_GRID} GROUP BY {key}, b),
-    q AS (SELECT *, greatest(1e-6, least(10e0, zg / gg)) AS a FROM s), fit AS (SELECT {key}, a, b FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY round(zz - 2 * a * zg + a * a * gg, 9), b) AS k FROM q) WHERE k = 1)"""
+def grid_fit(src: str, key: str, t: str, p: str = "") -> str:
+    """CTEs <p>fit(key, a, b) of the grid fit over src(key, t-expression, z)."""
+    return f"""{p}s AS (SELECT {key}, b, sum(z * (exp(b * {t}) - 1)) AS zg, sum(pow(exp(b * {t}) - 1, 2)) AS gg, sum(z * z) AS zz FROM {src}, {_GRID} GROUP BY {key}, b),
+    {p}q AS (SELECT *, greatest(1e-6, least(10e0, zg / gg)) AS a FROM {p}s), {p}fit AS (SELECT {key}, a, b FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY round(zz - 2 * a * zg + a * a * gg, 9), b) AS k FROM {p}q) WHERE k = 1)"""
+
+
+#: Sections that the twins make: errors at both points still differ by far more than the last bits of their sums, so both sides take the same halves.
+ROUNDS, _GOLD = 14, "((sqrt(5e0) - 1) / 2)"
+
+
+def refined_fit(src: str, key: str, t: str, p: str = "") -> str:
+    """CTEs <p>rf(key, a, b): the grid fit, refined by golden sections (a recursive query)."""
+    sums = lambda b, n: f"sum(z * (exp({b} * {t}) - 1)) AS zg{n}, sum(pow(exp({b} * {t}) - 1, 2)) AS gg{n}"
+    best = lambda n: f"greatest(1e-6, least(10e0, zg{n} / gg{n}))"
+    return f"""{grid_fit(src, key, t, p)},
+  {p}gs AS (SELECT {key}, 0 AS r, greatest(1e-4, b - 0.05e0) AS low, least(10e0, b + 0.05e0) AS high FROM {p}fit UNION ALL
+    SELECT {key}, r + 1, CASE WHEN e1 <= e2 THEN low ELSE x1 END, CASE WHEN e1 <= e2 THEN x2 ELSE high END FROM (
+      SELECT *, a1 * a1 * gg1 - 2 * a1 * zg1 AS e1, a2 * a2 * gg2 - 2 * a2 * zg2 AS e2 FROM (SELECT *, {best(1)} AS a1, {best(2)} AS a2 FROM (
+        SELECT {key}, r, low, high, x1, x2, {sums('x1', 1)}, {sums('x2', 2)} FROM (SELECT *, high - {_GOLD} * (high - low) AS x1, low + {_GOLD} * (high - low) AS x2 FROM {p}gs WHERE r < {ROUNDS}) JOIN {src} USING ({key}) GROUP BY ALL)))),
+  {p}rf AS (SELECT {key}, b, {best('')} AS a FROM (SELECT {key}, b, {sums('b', '')} FROM (SELECT {key}, (low + high) / 2 AS b FROM {p}gs WHERE r = {ROUNDS}) JOIN {src} USING ({key}) GROUP BY {key}, b))"""
 
 
 _Z = "z AS (SELECT unit_id, t, n, (value - min(value) OVER w) / CASE WHEN max(value) OVER w - min(value) OVER w < 1e-8 THEN 1e0 ELSE max(value) OVER w - min(value) OVER w END AS z, min(value) OVER w AS lo, max(value) OVER w AS hi FROM ev WINDOW w AS (PARTITION BY unit_id))"
@@ -282,17 +298,22 @@ def static_curve(spark, d):
     return models.static_curve(events(spark, d).withColumn("threshold", F.lit(0.5)), "value", grid=True).select("unit_id", "t", "fitted", "predicted_rul")
 
 
-@query("static_curve_refined")
+REFINED = f"""{EV}, {_Z}, {refined_fit('z', 'unit_id', '(t / (n + 0e0))')},
+  cr AS (SELECT z.unit_id, z.t, z.n, z.lo, z.hi, a * (exp(b * z.t / z.n) - 1) AS f FROM z JOIN rf USING (unit_id)),
+  x AS (SELECT unit_id, min(t) FILTER (WHERE f * (hi - lo) + lo >= 0.5e0 * (hi - lo) + lo) AS x FROM cr GROUP BY unit_id)"""
+
+
+@query("static_curve_refined", f"WITH RECURSIVE {REFINED} SELECT z.unit_id, z.t, round(z.f * (z.hi - z.lo) + z.lo, 6) AS fitted, {_STATIC_RUL} AS predicted_rul FROM cr z JOIN x USING (unit_id)")
 def static_curve_refined(spark, d):
-    """The refined fit; a search over real numbers, so no SQL."""
-    return models.static_curve(events(spark, d).withColumn("threshold", F.lit(0.5)), "value").select("unit_id", "t", "fitted", "predicted_rul")
+    """The grid's fit, refined by golden sections."""
+    return models.static_curve(events(spark, d).withColumn("threshold", F.lit(0.5)), "value", rounds=ROUNDS).select("unit_id", "t", "fitted", "predicted_rul")
 
 
 _RZ = _Z.replace("value", "price").replace("FROM ev", "FROM su")
-_DUE = "(t >= 50 AND (t % 10 = 0 OR t = 50))"
-ROLLING = f"""{SU}, {_RZ}, due AS (SELECT unit_id, t AS ra FROM z WHERE {_DUE}), win AS (SELECT d.unit_id, d.ra, (z.t - (d.ra - 50)) / 50e0 AS u, z.z FROM due d JOIN z ON z.unit_id = d.unit_id AND z.t BETWEEN d.ra - 50 AND d.ra),
+DUE = "(t >= 50 AND (t % 10 = 0 OR t = 50))"
+ROLLING = f"""{SU}, {_RZ}, due AS (SELECT unit_id, t AS ra FROM z WHERE {DUE}), win AS (SELECT d.unit_id, d.ra, (z.t - (d.ra - 50)) / 50e0 AS u, z.z FROM due d JOIN z ON z.unit_id = d.unit_id AND z.t BETWEEN d.ra - 50 AND d.ra),
   {grid_fit('win', 'unit_id, ra', 'u')},
-  rr AS (SELECT z.*, last_value(CASE WHEN {_DUE} THEN t END IGNORE NULLS) OVER (PARTITION BY unit_id ORDER BY t) AS ra FROM z),
+  rr AS (SELECT z.*, last_value(CASE WHEN {DUE} THEN t END IGNORE NULLS) OVER (PARTITION BY unit_id ORDER BY t) AS ra FROM z),
   ahead AS (SELECT j, 1 + 2e0 * j / 199 AS u FROM (SELECT unnest(range(200)) AS j)),
   cross_at AS (SELECT unit_id, ra, min(j) AS j FROM fit, ahead WHERE a * (exp(b * u) - 1) >= 0.9e0 GROUP BY unit_id, ra)"""
 
@@ -308,7 +329,7 @@ def rolling_refit(spark, d):
     return r.select("unit_id", "t", F.round("fitted", 4).alias("fitted"), "predicted_rul", F.col("refit").cast("int").alias("refit"))
 
 
-@query("refit_points", f"WITH {SU} SELECT unit_id, t, last_value(CASE WHEN {_DUE} THEN t END IGNORE NULLS) OVER (PARTITION BY unit_id ORDER BY t) AS refit_at FROM su")
+@query("refit_points", f"WITH {SU} SELECT unit_id, t, last_value(CASE WHEN {DUE} THEN t END IGNORE NULLS) OVER (PARTITION BY unit_id ORDER BY t) AS refit_at FROM su")
 def refit_points(spark, d):
     return models.refit_points(supplies(spark, d)).select("unit_id", "t", "refit_at")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wearcurve.operators import evaluation, models, runner, scaling, trackers
-from wearcurve.plans.curves import _Z, grid_fit
+from wearcurve.plans.curves import _Z, DUE, ROUNDS, grid_fit, refined_fit
 from wearcurve.plans.registry import query
 from wearcurve.plans.views import EV, PID, TR, events, tracked
 from wearcurve.streaming import pid as stream_pid
@@ -148,20 +148,32 @@ def bench_units(spark, d):
     )
 
 
-@query(
-    "benchmark_rows",
-    f"WITH RECURSIVE {MODELS} SELECT 'events' AS dataset, unit_id::VARCHAR AS unit_id, model, CASE WHEN unit_id % 2 = 0 THEN 'exact_oem' ELSE 'approximate_oem' END AS prior_quality, CASE WHEN unit_id % 3 = 0 THEN 'roller' ELSE 'ball' END AS equipment_type, unit_id % 10 <> 0 AS is_run_to_failure, "
+_RESULT_SQL = (
+    f"SELECT 'events' AS dataset, unit_id::VARCHAR AS unit_id, model, CASE WHEN unit_id % 2 = 0 THEN 'exact_oem' ELSE 'approximate_oem' END AS prior_quality, CASE WHEN unit_id % 3 = 0 THEN 'roller' ELSE 'ball' END AS equipment_type, unit_id % 10 <> 0 AS is_run_to_failure, "
     f"n AS n_valid, {_METRICS.replace('count(d) AS n_valid, ', '')}, CASE WHEN unit_id % 10 <> 0 THEN n - 1 - min(t) FILTER (WHERE alarm > 0 AND t < n - 1) END AS detection_lead_time, "
-    "CASE WHEN unit_id % 10 <> 0 THEN round(coalesce(avg(alarm) FILTER (WHERE t < n // 4), 0), 6) END AS false_alarm_rate, CASE WHEN unit_id % 10 <> 0 THEN min(t) FILTER (WHERE alarm > 0 AND t < n - 1) IS NOT NULL END AS detection_success FROM scored GROUP BY unit_id, n, model",
+    "CASE WHEN unit_id % 10 <> 0 THEN round(coalesce(avg(alarm) FILTER (WHERE t < n // 4), 0), 6) END AS false_alarm_rate, CASE WHEN unit_id % 10 <> 0 THEN min(t) FILTER (WHERE alarm > 0 AND t < n - 1) IS NOT NULL END AS detection_success FROM scored GROUP BY unit_id, n, model"
 )
+
+
+@query("benchmark_rows", f"WITH RECURSIVE {MODELS} {_RESULT_SQL}")
 def benchmark_rows(spark, d):
     return _told(runner.benchmark_rows(bench_units(spark, d), "events", _SQL_MODELS, grid=True))
 
 
-@query("benchmark_all_models")
+#: Tracks of all five models, with refined fits.
+ALL_MODELS = f"""{MODELS.split(', zz AS')[0]}, zz AS (SELECT unit_id, t, n, o AS value FROM tr), {_Z.replace('FROM ev', 'FROM zz')}, {refined_fit('z', 'unit_id', '(t / (n + 0e0))')},
+  cr AS (SELECT z.unit_id, z.t, z.n, a * (exp(b * z.t / z.n) - 1) AS f FROM z JOIN rf USING (unit_id)), x AS (SELECT unit_id, min(t) FILTER (WHERE f >= 1e0) AS x FROM cr GROUP BY unit_id),
+  due AS (SELECT unit_id, t AS ra FROM z WHERE n >= 50 AND {DUE}), win AS (SELECT d.unit_id, d.ra, (z.t - (d.ra - 50)) / 50e0 AS u, z.z FROM due d JOIN z ON z.unit_id = d.unit_id AND z.t BETWEEN d.ra - 50 AND d.ra), {refined_fit('win', 'unit_id, ra', 'u', 'w_')},
+  rr AS (SELECT unit_id, t, n, last_value(CASE WHEN {DUE} THEN t END IGNORE NULLS) OVER (PARTITION BY unit_id ORDER BY t) AS ra FROM z WHERE n >= 50),
+  cross_at AS (SELECT unit_id, ra, min(j) AS j FROM w_rf, (SELECT unnest(range(200)) AS j) WHERE a * (exp(b * (1 + 2e0 * j / 199)) - 1) >= 1e0 GROUP BY unit_id, ra),
+  rolled AS (SELECT r.unit_id, r.t, r.n, 'rolling_refit', CASE WHEN c.j IS NULL THEN r.n - r.t + 0e0 ELSE floor(c.j * 25e0) END AS rul FROM rr r LEFT JOIN cross_at c ON c.unit_id = r.unit_id AND c.ra = r.ra),
+  tracks AS{MODELS.split('tracks AS')[1].replace("UNION ALL SELECT unit_id, t, n, 'pid_adaptive'", "UNION ALL SELECT * FROM rolled UNION ALL SELECT unit_id, t, n, 'pid_adaptive'")}"""
+
+
+@query("benchmark_all_models", f"WITH RECURSIVE {ALL_MODELS} {_RESULT_SQL}")
 def benchmark_all_models(spark, d):
-    """All five models with refined fits; rows only, as a search over real numbers has no SQL."""
-    return _told(runner.benchmark_rows(bench_units(spark, d), "events"))
+    """All five models with refined fits."""
+    return _told(runner.benchmark_rows(bench_units(spark, d), "events", rounds=ROUNDS))
 
 
 #: The step controller as a recursive query; h: the last 15 errors, v: the first 5 volatilities, since: tests since the last switch.

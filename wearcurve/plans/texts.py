@@ -250,7 +250,7 @@ _PARAMS = "SELECT designation, manufacturer, round(bore_mm, 6) AS bore_mm, round
 _EXTRACTED = f"WITH {fixtures.CATALOG_SQL}, {_WANTED}, {_MERGED}, {_ALL_HITS}, {_rated_sql('hits')}, {_FOUND}"
 
 
-def _hits(spark, d):
+def _hits(spark, d=None):
     """Chunks that hold a spelling of each wanted bearing."""
     c = extraction.merged_neighbours(fixtures.catalog(spark, d))
     wanted = extraction.bearings(spark)
